@@ -138,14 +138,9 @@ def farthest_points(
             F.transform(kept, lambda q: haversine_km(F.col("lat"), F.col("lon"), q["lat"], q["lon"], radius_km))
         )
         rest = stations.filter(~F.col("station_id").isin(*[p[0] for p in picked])).withColumn("nearest", nearest)
-        farthest = rest.agg(F.max("nearest").alias("d")).first()["d"]
-        if farthest is None:
+        row = rest.orderBy(F.desc("nearest"), *tie_columns).select("station_id", "lat", "lon").first()
+        if row is None:
             break
-        row = (
-            rest.filter(F.col("nearest") == farthest)
-            .agg(F.min_by(F.struct("station_id", "lat", "lon"), tie).alias("r"))
-            .first()["r"]
-        )
         picked.append(tuple(row))
     order = {station: position for position, (station, _, _) in enumerate(picked, start=1)}
     pairs = [F.lit(item) for pair in order.items() for item in pair]

@@ -24,8 +24,12 @@ OUTPUT_COLUMNS = [
 
 
 def record_timestamp(text: Column) -> Column:
-    """Day of a '11-JUL-23 12:00:00' text; NULL when it is not one."""
-    return F.to_date(F.try_to_timestamp(F.initcap(text), F.lit("dd-MMM-yy HH:mm:ss")))
+    """Day of a '11-JUL-23 12:00:00' text; NULL when it is not one.
+
+    Two-digit years 69 to 99 belong to the last century.
+    """
+    day = F.to_date(F.try_to_timestamp(text, F.lit("dd-MMM-yy HH:mm:ss")))
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
 
 
 def expand_days(records: DataFrame, begin: str, end: str, name: str = "day") -> DataFrame:

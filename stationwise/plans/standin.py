@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.config import ClimateConfig
 from stationwise.operators.observations import wide_to_long
+from stationwise.sources.indices import SEASONS
 
 REGION_RULES = ClimateConfig(
     baseline_start=dt.date(1995, 1, 2),
@@ -78,3 +80,111 @@ def day_observations(spark: SparkSession, folder: str, grain: str = "nation") ->
 
 def long_observations(spark: SparkSession, folder: str, grain: str = "nation") -> DataFrame:
     return wide_to_long(day_observations(spark, folder, grain))
+
+
+def reused(frame: DataFrame) -> DataFrame:
+    """Keep a derived station table that a plan reads several times.
+
+    It has one row per station and day (or fewer), is small against the order
+    lines it comes from, and spills to disk; lost blocks are computed again.
+    """
+    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def pseudo_lat(key: Column) -> Column:
+    """The tables have no coordinates: a fixed rule spreads the keys over the globe."""
+    return (key * 7919 % 12000) / 100.0 - 60.0
+
+
+def pseudo_lon(key: Column) -> Column:
+    return (key * 104729 % 34000) / 100.0 - 170.0
+
+
+def station_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations as stations with position, elevation (missing for some) and geography."""
+    key = F.col("n_nationkey")
+    nations = table(spark, folder, "nation").join(
+        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    return nations.select(
+        station_id(key).alias("station_id"),
+        F.col("n_name").alias("station_name"),
+        pseudo_lat(key).alias("lat"),
+        pseudo_lon(key).alias("lon"),
+        F.when(key % 7 == 0, -999.9).otherwise(key * 10.5).alias("elevation_m"),
+        F.col("n_name").alias("region_name"),
+        F.when(F.col("r_name") == "AMERICA", "United States").otherwise(F.col("r_name")).alias("country"),
+        F.col("r_name").alias("continent"),
+    )
+
+
+def supplier_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as located points with one measured value."""
+    key = F.col("s_suppkey")
+    return table(spark, folder, "supplier").select(
+        station_id(key).alias("station_id"),
+        pseudo_lat(key).alias("lat"),
+        pseudo_lon(key).alias("lon"),
+        F.col("s_nationkey"),
+        F.col("s_acctbal").alias("level"),
+        F.lit("all").alias("event_type"),
+    )
+
+
+def storm_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as storm records: the customer's nation, a type by priority, text dates."""
+    orders = table(spark, folder, "orders")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    priority = F.substring("o_orderpriority", 1, 1)
+    text = "dd-MMM-yy HH:mm:ss"
+    end = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 3).cast("int"))
+    return (
+        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("STATE"),
+            F.when(priority == "1", "Heat")
+            .when(priority == "2", "Flood")
+            .when(priority == "3", "Drought")
+            .when(priority == "4", "Frost/Freeze")
+            .otherwise("Hail")
+            .alias("EVENT_TYPE"),
+            F.upper(F.date_format("o_orderdate", text)).alias("BEGIN_DATE_TIME"),
+            F.upper(F.date_format(end.cast("timestamp"), text)).alias("END_DATE_TIME"),
+            F.year("o_orderdate").cast("string").alias("YEAR"),
+        )
+    )
+
+
+def monthly_index_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per month as index text: the share of finished orders as an anomaly."""
+    seasons = F.array(*[F.lit(s) for s in SEASONS])
+    finished = F.count_if(F.col("o_orderstatus") == "F") * 100.0 / F.count(F.lit(1))
+    return (
+        table(spark, folder, "orders")
+        .groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+        .agg(F.round((finished - 33.0) / 2.0, 2).alias("anomaly"))
+        .select(F.concat_ws(" ", seasons[F.col("month") - 1], "year", "anomaly").alias("value"))
+    )
+
+
+def tenths(wide: DataFrame) -> DataFrame:
+    """Long observations as whole numbers that fit the fixed-width layout."""
+    return wide_to_long(wide).withColumn("raw_value", F.floor(F.col("value") / 10.0).cast("int"))
+
+
+def inventory_lines(wide: DataFrame) -> DataFrame:
+    """Year range of every station and element in the inventory layout."""
+    key = F.substring("station_id", 3, 9).cast("int")
+    return (
+        wide_to_long(wide)
+        .groupBy("station_id", "element")
+        .agg(F.min(F.year("date")).alias("first_year"), F.max(F.year("date")).alias("last_year"))
+        .select(
+            F.format_string(
+                "%-11s %8.4f %9.4f %s %4d %4d",
+                "station_id", pseudo_lat(key), pseudo_lon(key), "element", "first_year", "last_year",
+            ).alias("value")
+        )
+    )
