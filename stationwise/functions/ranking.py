@@ -3,7 +3,8 @@
 The distinct values of a group are cut into buckets by approximate quantiles
 (a mergeable sketch), counted, and ranked inside their bucket; a prefix over the
 few bucket totals completes the rank. The cuts only balance the work: the ranks
-are exact for any cuts.
+are exact for any cuts. The counted values are written once, so a plan with
+several ranks does not repeat the work before them.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationwise.session import cut_lineage
+
 BUCKETS = 64
 
 
 def value_ranks(frame: DataFrame, group: str, value: str, buckets: int = BUCKETS) -> DataFrame:
     """Per distinct (group, value): rows below, equal and above, and the group size."""
-    counts = frame.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("equal"))
+    counts = cut_lineage(
+        frame.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("equal"))
+    )
     shares = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(group).agg(F.percentile_approx(value, shares, 1000).alias("cuts"))
     bucketed = counts.join(cuts, group).withColumn(

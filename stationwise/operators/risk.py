@@ -9,6 +9,7 @@ from stationwise.config import TREND_MEASURES, ClimateConfig, SpatialConfig
 from stationwise.functions.ranking import with_descending_rank, with_percentile_rank
 from stationwise.operators.spatial import connected_components, gi_star, morans_i, nearest_neighbours
 from stationwise.operators.trends import TABLE_B_COLUMNS, counts_for_trend
+from stationwise.session import cut_lineage
 
 GROUP = "event_type"
 RISK_COLUMNS = ["risk_score", "risk_rank", "gi_z_score", "gi_p_value", "hotspot_class"]
@@ -50,13 +51,14 @@ def risk_scores(rows: DataFrame, spatial: SpatialConfig = SpatialConfig()) -> Da
     Event types without any variation get no score. The rank uses the score
     before rounding.
     """
+    rows = cut_lineage(rows)
     varied = group_profile(rows).filter(~(F.col("level_constant") & F.col("slope_constant"))).select(GROUP)
     rows = rows.join(varied, GROUP, "left_semi")
     ranked = with_percentile_rank(rows, GROUP, "level", "level_rank")
     ranked = with_percentile_rank(ranked, GROUP, "trend_slope", "slope_rank")
     score = 100.0 * (spatial.level_weight * F.col("level_rank") + spatial.trend_weight * F.col("slope_rank"))
-    scored = with_descending_rank(ranked.withColumn("score", score), GROUP, "score", "risk_rank")
-    return scored.select("station_id", GROUP, F.bround("score", 1).alias("risk_score"), "risk_rank")
+    scored = cut_lineage(ranked.select("station_id", GROUP, score.alias("score")))
+    return with_descending_rank(scored, GROUP, "score", "risk_rank").select("station_id", GROUP, F.bround("score", 1).alias("risk_score"), "risk_rank")
 
 
 def located_groups(rows: DataFrame, spatial: SpatialConfig) -> DataFrame:
@@ -73,10 +75,14 @@ def risk_and_hotspots(
     config: ClimateConfig,
     spatial: SpatialConfig = SpatialConfig(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Table B with its risk and hotspot columns filled, and Table C."""
-    rows = ranked_rows(table_a, table_b, config)
+    """Table B with its risk and hotspot columns filled, and Table C.
+
+    The participating rows and the neighbour graph are written once: ranks,
+    hotspots and Moran's I all start from them.
+    """
+    rows = cut_lineage(ranked_rows(table_a, table_b, config))
     placed = located_groups(rows, spatial)
-    edges = nearest_neighbours(placed, spatial.neighbours, GROUP, spatial.earth_radius_km)
+    edges = cut_lineage(nearest_neighbours(placed, spatial.neighbours, GROUP, spatial.earth_radius_km))
     spots = gi_star(placed, edges, GROUP, "level").select(
         "station_id",
         GROUP,

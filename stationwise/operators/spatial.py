@@ -39,6 +39,12 @@ def _cube(level: Column) -> list[Column]:
 CUBE = ["level", "cx", "cy", "cz"]
 
 
+def _reachable(cube: Column) -> Column:
+    """Cube coordinates within two steps on one axis."""
+    last = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
+    return F.sequence(F.greatest(cube - REACH, F.lit(0)), F.least(cube + REACH, last))
+
+
 def _touches_sphere() -> Column:
     """Cubes that the unit sphere can pass through; the others hold no point."""
     edge = F.lit(2.0) / F.pow(F.lit(2.0), F.col("level"))
@@ -61,6 +67,7 @@ def nearest_neighbours(
     targets = located.withColumn("copy", F.row_number().over(same_place)).filter(F.col("copy") <= k + 1).drop("copy")
 
     levels = F.sequence(F.lit(0), F.lit(FINEST_LEVEL))
+    targets = cut_lineage(targets)
     target_cubes = targets.withColumn("level", F.explode(levels)).select("*", *_cube(F.col("level")))
     full_cubes = (
         target_cubes.groupBy(group, *CUBE)
@@ -77,15 +84,12 @@ def nearest_neighbours(
         .agg(F.max("level").alias("level"))
     )
 
-    steps = F.sequence(F.lit(-REACH), F.lit(REACH))
     nearby = own.select(
         group, F.col("id").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"),
         "level", *_cube(F.col("level")),
     )
     for axis in ("cx", "cy", "cz"):
-        reach = F.transform(steps, lambda step, axis=axis: F.col(axis) + step)
-        last = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
-        nearby = nearby.withColumn(axis, F.explode(F.filter(reach, lambda c: c.between(F.lit(0), last))))
+        nearby = nearby.withColumn(axis, F.explode(_reachable(F.col(axis))))
     nearby = nearby.filter(_touches_sphere())
 
     candidates = target_cubes.select(

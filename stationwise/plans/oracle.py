@@ -544,8 +544,8 @@ FROM hot GROUP BY station_id, island HAVING count(*) >= 3""")
         q[name] = with_(*to_events, select=f"SELECT * FROM ev WHERE event_type = '{event_type}'")
     q["run_totals"] = with_(*to_events, select="""
 SELECT station_id, event_type, start_date, duration_days, round(total_excess, 2) AS total_excess, round(peak_excess, 2) AS peak_excess,
-       round(total_excess / duration_days, 2) AS mean_excess FROM runs
-UNION ALL SELECT station_id, event_type, start_date, 1, round(intensity_value, 2), round(intensity_value, 2), round(intensity_value, 2) FROM heavy""")
+       round(total_excess / duration_days, 6) AS mean_excess FROM runs
+UNION ALL SELECT station_id, event_type, start_date, 1, round(intensity_value, 2), round(intensity_value, 2), round(intensity_value, 6) FROM heavy""")
     q["events_all"] = with_(*to_events, select="SELECT * FROM ev")
     q["events_by_year"] = with_(*to_a, select="SELECT * REPLACE (year::INTEGER AS year) FROM ev_year")
     q["station_events"] = with_(*to_events, table_e, select="SELECT * REPLACE (year::INTEGER AS year) FROM table_e")

@@ -249,7 +249,7 @@ def run_totals(spark, folder):
         "duration_days",
         F.round("total_excess", 2).alias("total_excess"),
         F.round("peak_excess", 2).alias("peak_excess"),
-        F.round(F.col("total_excess") / F.col("duration_days"), 2).alias("mean_excess"),
+        F.round(F.col("total_excess") / F.col("duration_days"), 6).alias("mean_excess"),
     )
 
 
@@ -352,7 +352,7 @@ def station_levels(spark, folder):
 def risk_score(spark, folder):
     a = reused(table_a(spark, folder))
     b = trends.station_summary(a, NATION_RULES)
-    return risk.risk_scores(reused(risk.ranked_rows(a, b, NATION_RULES)))
+    return risk.risk_scores(risk.ranked_rows(a, b, NATION_RULES))
 
 
 @query
