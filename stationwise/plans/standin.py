@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.config import ClimateConfig
 from stationwise.operators.observations import wide_to_long
+from stationwise.session import cut_lineage
 from stationwise.sources.indices import SEASONS
 
 REGION_RULES = ClimateConfig(
@@ -83,12 +83,14 @@ def long_observations(spark: SparkSession, folder: str, grain: str = "nation") -
 
 
 def reused(frame: DataFrame) -> DataFrame:
-    """Keep a derived station table that a plan reads several times.
+    """Write a derived station table once when a plan reads it several times.
 
     It has one row per station and day (or fewer), is small against the order
-    lines it comes from, and spills to disk; lost blocks are computed again.
+    lines it comes from, and sits in the shared checkpoint folder, so a lost
+    executor loses nothing. A cached plan would not do: a self join of a plan
+    with array lambdas gets new names and misses the cache.
     """
-    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(frame)
 
 
 def pseudo_lat(key: Column) -> Column:
