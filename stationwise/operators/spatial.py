@@ -5,7 +5,9 @@ join, never from all pairs. For every point the finest grid level is chosen at
 which its own cube still holds k+1 points; its k nearest neighbours then lie
 within that cube's diagonal, so the cubes within two steps hold all of them. A
 cube one level finer holds at most k of the points that chose the level, so the
-join stays linear in the number of points however dense one area is.
+join stays linear in the number of points however dense one area is. Joins onto
+one row per key (values, labels) may have a hot key, for example when a third of
+the points share a place; adaptive execution splits those partitions.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from stationwise.session import cut_lineage
 
 FINEST_LEVEL = 21
 REACH = 2
+SALTS = 16
 DISTANCE_DECIMALS = 6
 
 
@@ -75,10 +78,12 @@ def nearest_neighbours(
         .filter(F.col("members") >= k + 1)
     )
     # A group of at most k points has no full cube: everyone meets at level 0.
+    # Coarse cubes hold most points, so this join is spread over salted keys.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     own = (
         located.withColumn("level", F.explode(levels))
-        .select("*", *_cube(F.col("level")))
-        .join(full_cubes, [group, *CUBE], "left")
+        .select("*", *_cube(F.col("level")), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(full_cubes.withColumn("salt", salts), [group, *CUBE, "salt"], "left")
         .filter(F.col("members").isNotNull() | (F.col("level") == 0))
         .groupBy(group, "id", "lat", "lon", "x", "y", "z")
         .agg(F.max("level").alias("level"))

@@ -362,7 +362,7 @@ mi AS (
 moran AS (SELECT event_type, i_val AS morans_i, {two_sided_p('((i_val - e_val) / sqrt(v_val))')} AS morans_p FROM mi)"""
 
 SUPPLIER_POINTS = (
-    f"SELECT 'all' AS event_type, {sid('s_suppkey')} AS station_id, {lat('s_suppkey')} AS lat, "
+    f"SELECT CASE WHEN s_acctbal < 3000 THEN 'low' ELSE 'high' END AS event_type, {sid('s_suppkey')} AS station_id, {lat('s_suppkey')} AS lat, "
     f"{lon('s_suppkey')} AS lon, s_acctbal AS level FROM supplier"
 )
 
@@ -581,7 +581,7 @@ FROM (SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_si
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
     q["grid_cells"] = f"""SELECT floor(({lat('s_suppkey')}) / 10.0::DOUBLE)::INTEGER AS lat_cell,
   floor(({lon('s_suppkey')}) / 10.0::DOUBLE)::INTEGER AS lon_cell, count(*) AS points FROM supplier GROUP BY 1, 2"""
-    q["knn_edges"] = with_(*to_supplier, select="SELECT i, j, round(distance_km, 3) AS distance_km, position FROM edges")
+    q["knn_edges"] = with_(*to_supplier, select="SELECT event_type, i, j, round(distance_km, 3) AS distance_km, position FROM edges")
     q["gi_star"] = with_(*to_supplier, select=f"""
 SELECT station_id, round(gi_z, 6) AS gi_z, round({two_sided_p('gi_z')}, 6) AS gi_p, {hotspot_class('gi_z', two_sided_p('gi_z'))} AS hotspot_class FROM gi""")
     q["morans_i"] = with_(*to_supplier, select="""

@@ -400,7 +400,7 @@ def _supplier_edges(spark, folder, k=5):
 @query
 def knn_edges(spark, folder):
     _, edges = _supplier_edges(spark, folder)
-    return edges.select("i", "j", F.round("distance_km", 3).alias("distance_km"), "position")
+    return edges.select("event_type", "i", "j", F.round("distance_km", 3).alias("distance_km"), "position")
 
 
 @query

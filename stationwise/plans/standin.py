@@ -121,7 +121,7 @@ def station_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_positions(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as located points with one measured value."""
+    """Suppliers as located points with one measured value, by account level."""
     key = F.col("s_suppkey")
     return table(spark, folder, "supplier").select(
         station_id(key).alias("station_id"),
@@ -129,7 +129,7 @@ def supplier_positions(spark: SparkSession, folder: str) -> DataFrame:
         pseudo_lon(key).alias("lon"),
         F.col("s_nationkey"),
         F.col("s_acctbal").alias("level"),
-        F.lit("all").alias("event_type"),
+        F.when(F.col("s_acctbal") < 3000, "low").otherwise("high").alias("event_type"),
     )
 
 
