@@ -523,7 +523,7 @@ SELECT station_id, element, target_calendar_day, threshold, CASE WHEN element =
 SELECT l.station_id, count(tmax_threshold) AS tmax_threshold_days, count(tmin_threshold) AS tmin_threshold_days, count(prcp_threshold) AS prcp_threshold_days
 FROM limits l JOIN elig e ON l.station_id = e.station_id WHERE baseline_eligible GROUP BY 1""")
     q["baseline_calendar_mean"] = with_(region, base(r), limits(r), select="""
-SELECT station_id, target_calendar_day, round(baseline_mean_tmax, 6) AS baseline_mean_tmax, n_obs FROM means""")
+SELECT station_id, target_calendar_day, round(baseline_mean_tmax * n_obs, 2) / n_obs AS baseline_mean_tmax, n_obs FROM means""")
 
     q["daily_flags"] = with_(*to_flags, select=f"""
 SELECT station_id, date, hot_flag, cold_flag, dry_flag, rain_flag,

@@ -180,7 +180,9 @@ def thresholds_of_eligible(spark, folder):
 def baseline_calendar_mean(spark, folder):
     base = thresholds.baseline_slice(day_observations(spark, folder, "region"), REGION_RULES)
     means = thresholds.baseline_means(base, REGION_RULES)
-    return means.withColumn("baseline_mean_tmax", F.round("baseline_mean_tmax", 6))
+    # Prices have two decimals: rounding the sum removes the summation order.
+    total = F.round(F.col("baseline_mean_tmax") * F.col("n_obs"), 2)
+    return means.withColumn("baseline_mean_tmax", total / F.col("n_obs"))
 
 
 # ---- flags, runs and events --------------------------------------------------
