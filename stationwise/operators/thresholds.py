@@ -3,8 +3,7 @@
 The temperature window touches 15 calendar days for every target day. Sending
 15 copies of each observation through the shuffle is avoided by cutting the
 calendar into month tiles: an observation reaches at most two tiles, so the
-shuffle carries about 1.5 copies, and the 15 copies exist only inside the task
-that aggregates the tile.
+shuffle carries about 1.5 copies, and the windows are cut inside the tile's row.
 """
 
 from __future__ import annotations
@@ -45,40 +44,70 @@ def _percentile(column: str, p: float, config: ClimateConfig, exact: bool) -> Co
     return F.percentile_approx(column, p, config.percentile_accuracy)
 
 
-def _spread_over_window(days: DataFrame, config: ClimateConfig) -> DataFrame:
-    """One row per day and target calendar day, grouped by (station, tile)."""
-    half = config.window_days
+def _values_by_tile(days: DataFrame, config: ClimateConfig) -> DataFrame:
+    """One row per (station, tile): its calendar days with their values.
+
+    A calendar day has at most one value per baseline year, and a tile needs
+    its own month and the days of the window around it.
+    """
     position = F.col("calendar_day")
     reach = F.array(*[
-        month_of_calendar_day(shift_calendar_day(position, F.lit(offset))) for offset in (-half, half)
+        month_of_calendar_day(shift_calendar_day(position, F.lit(offset)))
+        for offset in (-config.window_days, config.window_days)
     ])
     return (
         days.withColumn("tile", F.explode(F.array_distinct(reach)))
         .repartition("station_id", "tile")
-        .withColumn("offset", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-        .withColumn("target_calendar_day", shift_calendar_day(position, F.col("offset")))
-        .filter(month_of_calendar_day(F.col("target_calendar_day")) == F.col("tile"))
+        .groupBy("station_id", "tile", "calendar_day")
+        .agg(F.collect_list("tmax").alias("tmax"), F.collect_list("tmin").alias("tmin"))
+        .groupBy("station_id", "tile")
+        .agg(F.collect_list(F.struct("calendar_day", "tmax", "tmin")).alias("days"))
     )
 
 
-def window_thresholds(wide_baseline: DataFrame, config: ClimateConfig, exact: bool = False) -> DataFrame:
+def _at_rank(ordered: Column, p: float) -> Column:
+    """Discrete percentile of a sorted array; NULL when it is empty."""
+    size = F.size(ordered)
+    return F.when(size > 0, F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.lit(p) * size).cast("int"))))
+
+
+def window_thresholds(wide_baseline: DataFrame, config: ClimateConfig) -> DataFrame:
     """Hot and cold thresholds per station and calendar day, side by side.
 
-    The window must be narrower than a month tile (at most 14 days each side).
+    The percentiles are exact: each target day sorts the few hundred values of
+    its window inside the row of its tile. The window must be narrower than a
+    month tile (at most 14 days each side).
     """
     if config.window_days > 14:
         raise ValueError("the calendar window must stay within a month tile")
     days = wide_baseline.select(
         "station_id", calendar_day(F.col("date")).alias("calendar_day"), "tmax", "tmin"
     ).filter(F.col("tmax").isNotNull() | F.col("tmin").isNotNull())
+    half = config.window_days
+    target = F.col("target_calendar_day")
+    first = F.make_date(F.lit(2000), F.col("tile"), F.lit(1))
+    tile_days = F.sequence(F.dayofyear(first), F.dayofyear(F.last_day(first)))
+
+    def in_window(day: Column, center: Column) -> Column:
+        return F.pmod(day["calendar_day"] - center + half, F.lit(CALENDAR_DAYS)) <= 2 * half
+
+    reached = F.filter(tile_days, lambda center: F.exists("days", lambda d: in_window(d, center)))
+    near = F.filter("days", lambda d: in_window(d, target))
+
+    def ordered(name: str) -> Column:
+        return F.sort_array(F.flatten(F.transform("near", lambda d: d[name])))
+
     return (
-        _spread_over_window(days, config)
-        .groupBy("station_id", "tile", "target_calendar_day")
-        .agg(
-            _percentile("tmax", config.hot_percentile, config, exact).alias("tmax_threshold"),
-            _percentile("tmin", config.cold_percentile, config, exact).alias("tmin_threshold"),
+        _values_by_tile(days, config)
+        .withColumn("target_calendar_day", F.explode(reached))
+        .withColumn("near", near)
+        .select("station_id", target, ordered("tmax").alias("tmax"), ordered("tmin").alias("tmin"))
+        .select(
+            "station_id",
+            target,
+            _at_rank(F.col("tmax"), config.hot_percentile).alias("tmax_threshold"),
+            _at_rank(F.col("tmin"), config.cold_percentile).alias("tmin_threshold"),
         )
-        .drop("tile")
     )
 
 
@@ -98,8 +127,11 @@ def _percent_label(p: float) -> str:
 
 
 def threshold_table(wide_baseline: DataFrame, config: ClimateConfig, exact: bool = False) -> DataFrame:
-    """All thresholds in long form, with unit, definition and baseline columns."""
-    window = window_thresholds(wide_baseline, config, exact)
+    """All thresholds in long form, with unit, definition and baseline columns.
+
+    ``exact`` concerns the annual rain percentile, a mergeable sketch otherwise.
+    """
+    window = window_thresholds(wide_baseline, config)
     temperature = window.unpivot(
         ["station_id", "target_calendar_day"],
         [F.col("tmax_threshold").alias("TMAX"), F.col("tmin_threshold").alias("TMIN")],

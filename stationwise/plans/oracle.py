@@ -513,7 +513,8 @@ SELECT station_id, year::INTEGER AS year, complete_days, pct AS days_present_pct
     q["station_scores"] = with_(region, profile(r), eligibility(r), select="SELECT * FROM elig")
 
     q["threshold_calendar_window"] = with_(region, base(r), window(r), select="SELECT * FROM win")
-    q["threshold_exact"] = q["threshold_calendar_window"]
+    q["threshold_exact"] = with_(region, base(r), window(r), rain(r), select="""
+SELECT w.*, prcp_threshold FROM win w LEFT JOIN rain r ON w.station_id = r.station_id""")
     q["threshold_annual_wet"] = with_(nation, base(n), rain(n), select="SELECT * FROM rain")
     q["thresholds_all"] = with_(nation, base(n), limits(n), long_limits, select=f"""
 SELECT station_id, element, target_calendar_day, threshold, CASE WHEN element = 'PRCP' THEN 'mm' ELSE 'degrees_C' END AS threshold_unit,

@@ -147,9 +147,10 @@ def threshold_calendar_window(spark, folder):
 
 @query
 def threshold_exact(spark, folder):
-    """The same window with exact discrete percentiles."""
-    base = thresholds.baseline_slice(day_observations(spark, folder, "region"), REGION_RULES)
-    return thresholds.window_thresholds(base, REGION_RULES, exact=True)
+    """Window thresholds next to the exact annual rain percentile."""
+    base = reused(thresholds.baseline_slice(day_observations(spark, folder, "region"), REGION_RULES))
+    window = thresholds.window_thresholds(base, REGION_RULES)
+    return window.join(thresholds.annual_rain_threshold(base, REGION_RULES, exact=True), "station_id", "left")
 
 
 @query
