@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationwise.config import STORM_CATEGORIES, StormConfig
+from stationwise.session import cut_lineage
 
 CATEGORY_DAYS = ["category", "state", "day"]
 OUTPUT_COLUMNS = [
@@ -105,9 +106,12 @@ def validate_events(
         .filter(F.col("start_date").between(first, last))
         .withColumn("end_date", F.least(F.col("end_date"), last))
     )
-    detected = expand_days(in_window, "start_date", "end_date").select(*CATEGORY_DAYS).distinct()
+    # Both day sets are counted and matched in both directions: written once.
+    detected = cut_lineage(expand_days(in_window, "start_date", "end_date").select(*CATEGORY_DAYS).distinct())
     states = stations.select("state").distinct()
-    recorded = storm_state_days(storm, config, theirs).join(states, "state", "left_semi").select(*CATEGORY_DAYS)
+    recorded = cut_lineage(
+        storm_state_days(storm, config, theirs).join(states, "state", "left_semi").select(*CATEGORY_DAYS)
+    )
 
     def size(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy("category").agg(F.count(F.lit(1)).alias(name))

@@ -73,16 +73,30 @@ def nation_events(spark: SparkSession, folder: str) -> DataFrame:
     return events.detect_events(nation_flags(nation_days(spark, folder)), NATION_RULES)
 
 
-def table_a(spark: SparkSession, folder: str) -> DataFrame:
+def panel_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flagged days, thresholds and events of the nation stations."""
     wide = nation_days(spark, folder)
     limits = reused(nation_thresholds(wide))
     means = thresholds.baseline_means(thresholds.baseline_slice(wide, NATION_RULES), NATION_RULES)
     flagged = reused(events.flag_days(wide, limits, NATION_RULES, means))
-    found = events.detect_events(flagged, NATION_RULES)
+    return flagged, limits, events.detect_events(flagged, NATION_RULES)
+
+
+def panel_of(spark: SparkSession, folder: str, flagged: DataFrame, limits: DataFrame, found: DataFrame) -> DataFrame:
     listed = station_list(spark, folder)
     return panel.station_year_metrics(flagged, limits, found, listed, listed)
 
 
+def table_a(spark: SparkSession, folder: str) -> DataFrame:
+    return panel_of(spark, folder, *panel_inputs(spark, folder))
+
+
+def tables_ae(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    flagged, limits, found = panel_inputs(spark, folder)
+    found = reused(found)
+    return reused(panel_of(spark, folder, flagged, limits, found)), panel.station_events(found)
+
+
 def tables_abc(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a = reused(table_a(spark, folder))
     b = reused(trends.station_summary(a, NATION_RULES))
@@ -454,15 +468,13 @@ def long_unpivot(spark, folder):
 
 @query
 def season_rollup(spark, folder):
-    return dashboard.season_table(
-        reused(table_a(spark, folder)), panel.station_events(nation_events(spark, folder)), NATION_RULES
-    )
+    a, e = tables_ae(spark, folder)
+    return dashboard.season_table(a, e, NATION_RULES)
 
 
 @query
 def season_reconcile(spark, folder):
-    a = reused(table_a(spark, folder))
-    e = panel.station_events(nation_events(spark, folder))
+    a, e = tables_ae(spark, folder)
     return dashboard.reconciliation(a, dashboard.season_table(a, e, NATION_RULES), NATION_RULES)
 
 
