@@ -13,6 +13,17 @@ from stationwise.session import cut_lineage
 
 GROUP = "event_type"
 RISK_COLUMNS = ["risk_score", "risk_rank", "gi_z_score", "gi_p_value", "hotspot_class"]
+# Hotspot classes and the columns that count them.
+HOTSPOT_COLUMNS = {
+    "Hot spot 99%": "hot_99",
+    "Hot spot 95%": "hot_95",
+    "Hot spot 90%": "hot_90",
+    "Not significant": "not_significant",
+    "Cold spot 90%": "cold_90",
+    "Cold spot 95%": "cold_95",
+    "Cold spot 99%": "cold_99",
+}
+
 TABLE_C_COLUMNS = [GROUP, "morans_i", "morans_p_value", "n_stations"]
 
 
@@ -111,6 +122,15 @@ def risk_and_hotspots(
     return summary, table_c
 
 
+def hotspot_counts(spots: DataFrame) -> DataFrame:
+    """Number of stations by event type and hotspot class; unclassified rows are left out."""
+    return (
+        spots.filter(F.col("hotspot_class").isNotNull())
+        .groupBy(GROUP)
+        .agg(*[F.count_if(F.col("hotspot_class") == label).alias(name) for label, name in HOTSPOT_COLUMNS.items()])
+    )
+
+
 def neighbour_groups(stations: DataFrame, spatial: SpatialConfig = SpatialConfig()) -> DataFrame:
     """Component label of every located station in the nearest-neighbour graph."""
     located = stations.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("graph", F.lit(0))

@@ -14,7 +14,8 @@ from stationwise.session import cut_lineage
 CELL = ["lat_cell", "lon_cell"]
 
 
-def _with_cell(stations: DataFrame, degrees: float) -> DataFrame:
+def with_cell(stations: DataFrame, degrees: float) -> DataFrame:
+    """Add the degree-grid cell of each station."""
     cell = grid_cell(F.col("lat"), F.col("lon"), degrees)
     return stations.withColumn("cell", cell).select("*", *[f"cell.{c}" for c in CELL]).drop("cell")
 
@@ -31,7 +32,7 @@ def choose_candidates(inventory: DataFrame, config: SelectionConfig = SelectionC
     is applied before the shuffle on the map side (window group limit), and the
     overall limit is the size of the list asked for.
     """
-    pool = _with_cell(
+    pool = with_cell(
         inventory.filter(
             (F.col("first_year") <= config.first_year)
             & (F.col("last_year") >= config.last_year)
@@ -72,7 +73,7 @@ def select_stations(
     That is the greedy choice, without collecting a cell into one task.
     Required stations take their places first.
     """
-    ok = _with_cell(passing(results), config.cell_degrees)
+    ok = with_cell(passing(results), config.cell_degrees)
     is_required = F.col("station_id").isin(*config.required) if config.required else F.lit(False)
     first = [*order_columns]
     rank_key = F.struct(*[(-F.col(c)).alias(c) for c in first], F.col("station_id").alias("id"))

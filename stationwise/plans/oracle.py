@@ -6,8 +6,11 @@ complete on its own and reads the whole tables.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from stationwise.config import STORM_CATEGORIES, TREND_MEASURES, ClimateConfig
 from stationwise.functions.stats import SQRT_TWO_PI, TAIL_DENOMINATOR, TAIL_NUMERATOR, TAIL_SWITCH
+from stationwise.operators.risk import HOTSPOT_COLUMNS
 from stationwise.plans.standin import NATION_RULES, REGION_RULES
 
 EARTH = 6371.0088
@@ -585,6 +588,12 @@ FROM (SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_si
     q["knn_edges"] = with_(*to_supplier, select="SELECT event_type, i, j, round(distance_km, 3) AS distance_km, position FROM edges")
     q["gi_star"] = with_(*to_supplier, select=f"""
 SELECT station_id, round(gi_z, 6) AS gi_z, round({two_sided_p('gi_z')}, 6) AS gi_p, {hotspot_class('gi_z', two_sided_p('gi_z'))} AS hotspot_class FROM gi""")
+    classes = ", ".join(
+        f"count(*) FILTER (WHERE c = '{label}') AS {name}" for label, name in HOTSPOT_COLUMNS.items()
+    )
+    q["hotspot_crosstab"] = with_(*to_supplier, f"""
+classed AS (SELECT event_type, {hotspot_class('gi_z', two_sided_p('gi_z'))} AS c FROM gi)""", select=f"""
+SELECT event_type, {classes} FROM classed WHERE c IS NOT NULL GROUP BY 1""")
     q["morans_i"] = with_(*to_supplier, select="""
 SELECT event_type, round(morans_i, 6) AS morans_i, round(morans_p, 6) AS morans_p FROM moran""")
     q["graph_components"] = with_(neighbours(SUPPLIER_POINTS, 2), """
@@ -709,8 +718,6 @@ marks AS (SELECT CASE WHEN lon < 0 THEN 'West' ELSE 'East' END AS continent, 1 A
           (station_id IN (SELECT station_id FROM picked))::INTEGER AS selected FROM results)""", select="""
 SELECT coalesce(continent, 'TOTAL') AS continent, sum(screened)::BIGINT AS screened, sum(passing)::BIGINT AS passing, sum(selected)::BIGINT AS selected
 FROM marks GROUP BY ROLLUP (continent)""")
-    from dataclasses import replace
-
     other = replace(n, valid_year_pct=63.0)
     compared = ("baseline_valid_years", "valid_years_1995_2001", "meets_80_all_variables", "baseline_eligible", "enough_years_for_trend")
     q["results_compare"] = with_(nation, profile(n), eligibility(n), eligibility(other, name="other"), select=" UNION ALL ".join(

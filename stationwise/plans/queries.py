@@ -7,13 +7,24 @@ ANSI SQL is in ``stationwise.plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.config import COLD_SNAP, DRY_SPELL, HEATWAVE, HEAVY_RAIN, SelectionConfig, SpatialConfig
+from stationwise.config import (
+    COLD_SNAP,
+    DRY_SPELL,
+    HEATWAVE,
+    HEAVY_RAIN,
+    STORM_CATEGORIES,
+    SelectionConfig,
+    SpatialConfig,
+    StormConfig,
+)
 from stationwise.functions.calendar import days_in_year
 from stationwise.functions.geo import haversine_km
+from stationwise.functions.ranking import with_descending_rank, with_percentile_rank
 from stationwise.operators import checks, completeness, dashboard, events, geography, panel, risk
 from stationwise.operators import runs, selection, spatial, storms, thresholds, trends
 from stationwise.operators.observations import daily_wide, keep_valid
@@ -27,6 +38,7 @@ from stationwise.plans.standin import (
     pseudo_lat,
     pseudo_lon,
     reused,
+    station_id,
     station_list,
     storm_records,
     supplier_positions,
@@ -375,8 +387,6 @@ def risk_score(spark, folder):
 @query
 def percentile_rank(spark, folder):
     """Average-tie and minimum-tie ranks of all parts within their brand."""
-    from stationwise.functions.ranking import with_descending_rank, with_percentile_rank
-
     parts = table(spark, folder, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"))
     ranked = with_percentile_rank(parts, "p_brand", "p_size", "share")
     ranked = with_descending_rank(ranked, "p_brand", "p_size", "place")
@@ -406,7 +416,7 @@ def haversine_lanes(spark, folder):
 def grid_cells(spark, folder):
     """Suppliers per ten-degree cell; negative positions floor down."""
     points = supplier_positions(spark, folder)
-    return selection._with_cell(points, 10.0).groupBy("lat_cell", "lon_cell").agg(F.count(F.lit(1)).alias("points"))
+    return selection.with_cell(points, 10.0).groupBy("lat_cell", "lon_cell").agg(F.count(F.lit(1)).alias("points"))
 
 
 def _supplier_edges(spark, folder, k=5):
@@ -457,6 +467,13 @@ def global_statistics(spark, folder):
     return c
 
 
+@query
+def hotspot_crosstab(spark, folder):
+    """Suppliers by account level and hotspot class."""
+    points, edges = _supplier_edges(spark, folder)
+    return risk.hotspot_counts(spatial.gi_star(points, edges, "event_type", "level"))
+
+
 # ---- dashboard ---------------------------------------------------------------
 
 
@@ -540,8 +557,6 @@ def tolerance_match(spark, folder):
     )
     orders = table(spark, folder, "orders").filter(F.col("o_totalprice") > 495000)
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    from stationwise.plans.standin import station_id
-
     large = (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(
@@ -563,8 +578,6 @@ def storm_validation(spark, folder):
 @query
 def storm_days(spark, folder):
     """Distinct category, state and day of the text-dated records."""
-    from stationwise.config import STORM_CATEGORIES, StormConfig
-
     kinds = {name: theirs for name, (_, theirs) in STORM_CATEGORIES.items()}
     return storms.storm_state_days(storm_records(spark, folder), StormConfig(), kinds)
 
@@ -651,8 +664,6 @@ def supplier_results(spark, folder):
         )
     )
     points = table(spark, folder, "supplier").join(yearly, F.col("s_suppkey") == F.col("l_suppkey"))
-    from stationwise.plans.standin import station_id
-
     key = F.col("s_suppkey")
     return points.select(
         station_id(key).alias("station_id"),
@@ -697,8 +708,6 @@ def screening_totals(spark, folder):
 @query
 def results_compare(spark, folder):
     """Eligibility by two completeness rules, compared column by column."""
-    from dataclasses import replace
-
     profile = reused(completeness.yearly_profile(day_observations(spark, folder, "nation"), NATION_RULES))
     mine = completeness.station_eligibility(profile, NATION_RULES)
     other = completeness.station_eligibility(profile, replace(NATION_RULES, valid_year_pct=63.0))
