@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stationwise.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from stationwise.llm.language_id import op1_language_id
 from stationwise.llm.mixing import op3_mixing
+from stationwise.llm.pii import op10_pii
+from stationwise.llm.quality_rules import op2_quality_rules
 from stationwise.llm.warc import OP6_SQL, op6_warc_revisit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,9 +18,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_language_id,
+        op2_quality_rules,
         op3_mixing,
         op4_exact_dedup,
         op6_warc_revisit,
+        op10_pii,
     )
 }
 
