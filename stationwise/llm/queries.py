@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stationwise.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from stationwise.llm.language_id import op1_language_id
 from stationwise.llm.mixing import op3_mixing
+from stationwise.llm.near_dedup import op5_near_dedup
+from stationwise.llm.packing import op7_packing
 from stationwise.llm.pii import op10_pii
 from stationwise.llm.quality_rules import op2_quality_rules
 from stationwise.llm.warc import OP6_SQL, op6_warc_revisit
@@ -22,7 +24,9 @@ QUERIES: dict[str, Query] = {
         op2_quality_rules,
         op3_mixing,
         op4_exact_dedup,
+        op5_near_dedup,
         op6_warc_revisit,
+        op7_packing,
         op10_pii,
     )
 }
