@@ -13,7 +13,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A table is broadcast only up to so many (slim) rows.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
