@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stationwise.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from stationwise.llm.language_id import op1_language_id
 from stationwise.llm.line_dedup import op9_line_dedup
+from stationwise.llm.lm_scoring import op8_lm_scoring
 from stationwise.llm.mixing import op3_mixing
 from stationwise.llm.near_dedup import op5_near_dedup
 from stationwise.llm.packing import op7_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
         op5_near_dedup,
         op6_warc_revisit,
         op7_packing,
+        op8_lm_scoring,
         op9_line_dedup,
         op10_pii,
     )
