@@ -80,6 +80,14 @@ def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(small, on, how)
 
 
+def without_rows(frame: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in the one column of ``gone``; broadcast when its counted rows allow, else shuffled."""
+    gone = written(gone.toDF(key), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return frame.join(gone, key, "left_anti")
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True for rows set apart; a null doc_id is never set apart."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -34,13 +34,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")
 
 
-def digest_runs(rows: DataFrame, identifier: str, text: str) -> DataFrame:
-    """One sorted run per input partition: (run, row, id, digest, check, n_bytes)."""
-    plain = rows.select(F.col(identifier).alias("id"), normalised(F.col(text)).alias("plain"))
+def digest_runs(rows: DataFrame, identifier: str, text: str, carry: str | None) -> DataFrame:
+    """One sorted run per input partition: (run, row, id, carried, digest, check, n_bytes)."""
+    carried = F.col(carry) if carry else F.lit(None)
+    plain = rows.select(F.col(identifier).alias("id"), carried.cast("long").alias("carried"), normalised(F.col(text)).alias("plain"))
     runs = plain.select(
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("row"),
         "id",
+        "carried",
         F.unhex(F.sha2("plain", 256)).alias("digest"),
         F.xxhash64("plain").alias("check"),
         F.octet_length("plain").alias("n_bytes"),
@@ -62,13 +64,14 @@ def merged(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lowest.select("run", *KEY), level.drop("run")
 
 
-def exact_groups(rows: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: (id, keep_id, group_size, kept, digest binary)."""
-    runs = digest_runs(rows, identifier, text)
+def exact_groups(rows: DataFrame, identifier: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """One row per input row: (id, carried, keep_id, group_size, kept, digest binary); ``carry`` names a long to pass on."""
+    runs = digest_runs(rows, identifier, text, carry)
     lowest, root = merged(runs)
     answers = lowest.join(root, KEY)
     return runs.join(answers, ["run", *KEY]).select(
         "id",
+        "carried",
         F.col("keep.id").alias("keep_id"),
         F.col("size").alias("group_size"),
         (F.col("row") == F.col("keep.row")).alias("kept"),

@@ -118,8 +118,8 @@ class Coders:
         return self.langs[sizes.index(least)], score, margin, margin < self.config.margin
 
 
-def identify(docs: DataFrame, training: DataFrame, columns: list[str], config: LanguageConfig = LanguageConfig()) -> DataFrame:
-    """The columns of ``docs`` plus (lang_pred, score, margin, rejected); ``docs`` has a text column."""
+def with_language(docs: DataFrame, training: DataFrame, name: str, config: LanguageConfig = LanguageConfig()) -> DataFrame:
+    """The documents with a struct column (lang_pred, score, margin, rejected) of that name, predicted from ``text``."""
     contents = docs.sparkSession.sparkContext.broadcast(dictionaries(labelled_sample(training, config), config))
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
@@ -128,12 +128,11 @@ def identify(docs: DataFrame, training: DataFrame, columns: list[str], config: L
         for batch in texts:
             yield pd.DataFrame([coders.predict(x) for x in batch], columns=["lang_pred", "score", "margin", "rejected"])
 
-    found = docs.select(*columns, predicted("text").alias("found"))
-    return found.select(*columns, "found.lang_pred", "found.score", "found.margin", "found.rejected")
+    return docs.withColumn(name, predicted("text"))
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     apart = held_out(F.col("doc_id"), 4, 2)
-    found = identify(docs.withColumn("held_out", apart), docs.where(~apart), ["doc_id", "held_out"])
-    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+    found = with_language(docs, docs.where(~apart), "found")
+    return found.select("doc_id", apart.alias("held_out"), "found.*")

@@ -118,8 +118,8 @@ def signature(shingles: np.ndarray, config: NearConfig) -> tuple[list[int], list
 SIGNATURE = "n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
-def signatures(docs: DataFrame, config: NearConfig) -> DataFrame:
-    """One written row per document: (row, doc_id, n_shingles, digest, bands, sketch); no digest for an empty set."""
+def signatures(docs: DataFrame, config: NearConfig, carry: str | None) -> DataFrame:
+    """One written row per document: (row, doc_id, carried, n_shingles, digest, bands, sketch); no digest for an empty set."""
 
     @F.pandas_udf(SIGNATURE)
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -132,8 +132,9 @@ def signatures(docs: DataFrame, config: NearConfig) -> DataFrame:
                 rows.append((len(shingles), *found))
             yield pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
 
-    found = docs.select("doc_id", signed("text").alias("found"))
-    return written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "found.*"), "signatures")
+    carried = (F.col(carry) if carry else F.lit(None)).cast("long").alias("carried")
+    found = docs.select("doc_id", carried, signed("text").alias("found"))
+    return written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "carried", "found.*"), "signatures")
 
 
 def distinct_sets(signed: DataFrame) -> DataFrame:
@@ -196,12 +197,12 @@ def verifier(docs: DataFrame, sets: DataFrame, nodes: DataFrame, config: NearCon
     return verify
 
 
-def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """One row per document: (row, doc_id, n_shingles, component_id, component_row).
+def near_groups(docs: DataFrame, config: NearConfig = NearConfig(), carry: str | None = None) -> DataFrame:
+    """One row per document: (row, doc_id, carried, n_shingles, component_id, component_row).
 
     ``component_row`` names the component also where identifiers are null or repeat; it is null for empty sets.
     """
-    signed = signatures(docs.select("doc_id", "text"), config)
+    signed = signatures(docs, config, carry)
     sets = distinct_sets(signed)
     members = sets.select("node", F.explode("bands").alias("bucket")).distinct()
     nodes = members.join(members.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi")
@@ -215,16 +216,26 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     grouped = written(grouped, "grouped")
     names = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(with_small(grouped, names, ["component"]).select("digest", "component", "component_id"), "named")
-    slim = signed.select("row", "doc_id", "n_shingles", "digest")
+    slim = signed.select("row", "doc_id", "carried", "n_shingles", "digest")
     return slim.join(named, "digest", "left").select(
         "row",
         "doc_id",
+        "carried",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("component").alias("component_row"),
     )
 
 
+def later_rows(groups: DataFrame) -> DataFrame:
+    """(carried) of all rows but the first of every component, by identifier (null last), then by carried number."""
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "carried")
+    several = groups.where("component_row IS NOT NULL").select("component_row", order.alias("order"))
+    firsts = several.groupBy("component_row").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = with_small(several, written(firsts.select("component_row", "first"), "firsts"), ["component_row"])
+    return later.where(F.col("order.carried") != F.col("first.carried")).select(F.col("order.carried").alias("carried"))
+
+
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_groups(table(spark, folder, "documents"), NearConfig(words=3, per_cent=85))
     return groups.select(
