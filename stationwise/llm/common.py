@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch that goes to Python.
+ARROW_BYTES = 4 << 20
+
 #: A table is broadcast only up to so many (slim) rows.
 BROADCAST_ROWS = 250_000
 
@@ -20,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes, since texts differ a thousandfold in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import held_out, table
+from stationwise.llm.common import bounded_batches, held_out, table
 
 UNKNOWN = "und"
 #: Anything between letters, also digits and low lines.
@@ -120,6 +120,7 @@ class Coders:
 
 def with_language(docs: DataFrame, training: DataFrame, name: str, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """The documents with a struct column (lang_pred, score, margin, rejected) of that name, predicted from ``text``."""
+    bounded_batches(docs.sparkSession)
     contents = docs.sparkSession.sparkContext.broadcast(dictionaries(labelled_sample(training, config), config))
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")

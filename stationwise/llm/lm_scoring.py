@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import held_out, table, written
+from stationwise.llm.common import bounded_batches, held_out, table, written
 from stationwise.llm.ngram_trie import SUCCESSOR_BITS, VALUES, Trie
 
 #: Fingerprints of the start and the end of a document; words never have them.
@@ -211,6 +211,7 @@ SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, counted do
 
 def scored(docs: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """One row per document (doc_id, text, held_out): token counts, base score and model score."""
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, math.ceil(size / 6 / config.shard_tokens))
     blocks = blocks_of(docs, config)

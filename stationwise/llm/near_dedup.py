@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import table, with_small, written
+from stationwise.llm.common import bounded_batches, table, with_small, written
 from stationwise.llm.links import linked_components
 
 
@@ -202,6 +202,7 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig(), carry: str |
 
     ``component_row`` names the component also where identifiers are null or repeat; it is null for empty sets.
     """
+    bounded_batches(docs.sparkSession)
     signed = signatures(docs, config, carry)
     sets = distinct_sets(signed)
     members = sets.select("node", F.explode("bands").alias("bucket")).distinct()

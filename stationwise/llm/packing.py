@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import table, written
+from stationwise.llm.common import bounded_batches, table, written
 
 
 @dataclass(frozen=True)
@@ -137,6 +137,7 @@ def grouped(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
 
 def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """(row, doc_id, doc_tokens, crcs): the checksum of every piece of a document."""
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(config.vocabulary).read_text(encoding="utf-8"))
 
     @F.pandas_udf("doc_tokens long, crcs array<long>")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from stationwise.llm.common import table
+from stationwise.llm.common import bounded_batches, table
 
 # The kinds in the order of the report, and their patterns.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -160,6 +160,7 @@ def find_private(docs: DataFrame, identifier: str = "doc_id", text: str = "text"
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in REPORT.split(", ")])
             yield frame.assign(doc_id=pd.Series(batch.iloc[:, 0].to_numpy(), dtype=batch.dtypes.iloc[0]))
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[identifier].dataType.simpleString()
     return docs.select(identifier, text).mapInPandas(scan, REPORT.format(id=kind))
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import table, with_small, written
+from stationwise.llm.common import bounded_batches, table, with_small, written
 
 # Characters counted as symbols, and white space.
 SYMBOLS = "#*$%&|<>"
@@ -142,6 +142,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", identifier
         for batch in batches:
             yield counts_of(batch)
 
+    bounded_batches(docs.sparkSession)
     stratum = F.coalesce(F.col(lang), F.lit("")).alias("stratum")
     found = docs.select(F.col(identifier).alias("doc_id"), stratum, counted(text).alias("found"))
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import new_path, table, written
+from stationwise.llm.common import bounded_batches, new_path, table, written
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -167,6 +167,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 frame = pd.DataFrame(rows, columns=names)
                 yield frame.astype({"payload_bytes": "Int64"})
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     records = written(files.select("content").mapInPandas(walk, RECORDS), "records")
     responses = records.where("record_type = 'response'")
