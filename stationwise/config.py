@@ -105,10 +105,13 @@ class SpatialConfig:
 
 @dataclass(frozen=True)
 class StormConfig:
-    """State-day comparison with an external storm record."""
+    """State-day comparison with an external storm record.
+
+    ``max_record_days`` cuts longer records; the published rule is 120 days. Off by default: no day is lost.
+    """
 
     tolerance_days: int = 1
-    max_record_days: int = 120
+    max_record_days: int | None = None
     country: str = "United States"
 
 
@@ -129,16 +132,19 @@ STORM_CATEGORIES = {
 
 @dataclass(frozen=True)
 class SelectionConfig:
-    """Candidate choice and spread-out station selection."""
+    """Candidate choice and spread-out station selection.
+
+    The limits are off by default. The published screening uses 5 candidates per cell, 1,000 in all and 120 stations.
+    """
 
     first_year: int = 1991
     last_year: int = 2024
     cell_degrees: float = 10.0
-    candidates_per_cell: int = 5
-    max_candidates: int = 1000
+    candidates_per_cell: int | None = None
+    max_candidates: int | None = None
     per_cell: int = 2
     min_separation_km: float = 300.0
-    max_stations: int = 120
+    max_stations: int | None = None
     earth_radius_km: float = 6371.0088
     required: tuple[str, ...] = ("USW00094728", "USW00023174")
 

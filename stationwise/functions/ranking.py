@@ -12,19 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationwise.session import cut_lineage
+from stationwise.session import cut_lineage, join_groups
 
-BUCKETS = 64
+#: Distinct values that a bucket, which one task sorts, holds on average.
+BUCKET_VALUES = 100_000
+FEWEST_BUCKETS, MOST_BUCKETS = 8, 4096
 
 
-def value_ranks(frame: DataFrame, group: str, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Per distinct (group, value): rows below, equal and above, and the group size."""
+def value_ranks(frame: DataFrame, group: str, value: str, buckets: int | None = None) -> DataFrame:
+    """Per distinct (group, value): rows below, equal and above, and the group size.
+
+    The number of buckets follows the counted distinct values unless it is given.
+    """
     counts = cut_lineage(
         frame.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("equal"))
     )
+    buckets = buckets or min(MOST_BUCKETS, max(FEWEST_BUCKETS, counts.count() // BUCKET_VALUES))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(group).agg(F.percentile_approx(value, shares, 1000).alias("cuts"))
-    bucketed = counts.join(cuts, group).withColumn(
+    bucketed = join_groups(counts, cuts, group).withColumn(
         "bucket", F.size(F.filter("cuts", lambda cut: cut < F.col(value)))
     )
     by_bucket = Window.partitionBy(group).orderBy("bucket")

@@ -9,7 +9,7 @@ from stationwise.config import TREND_MEASURES, ClimateConfig, SpatialConfig
 from stationwise.functions.ranking import with_descending_rank, with_percentile_rank
 from stationwise.operators.spatial import connected_components, gi_star, morans_i, nearest_neighbours
 from stationwise.operators.trends import TABLE_B_COLUMNS, counts_for_trend
-from stationwise.session import cut_lineage
+from stationwise.session import cut_lineage, join_groups
 
 GROUP = "event_type"
 RISK_COLUMNS = ["risk_score", "risk_rank", "gi_z_score", "gi_p_value", "hotspot_class"]
@@ -62,9 +62,8 @@ def risk_scores(rows: DataFrame, spatial: SpatialConfig = SpatialConfig()) -> Da
     Event types without any variation get no score. The rank uses the score
     before rounding.
     """
-    rows = cut_lineage(rows)
     varied = group_profile(rows).filter(~(F.col("level_constant") & F.col("slope_constant"))).select(GROUP)
-    rows = rows.join(varied, GROUP, "left_semi")
+    rows = join_groups(rows, varied, GROUP, "left_semi")
     ranked = with_percentile_rank(rows, GROUP, "level", "level_rank")
     ranked = with_percentile_rank(ranked, GROUP, "trend_slope", "slope_rank")
     score = 100.0 * (spatial.level_weight * F.col("level_rank") + spatial.trend_weight * F.col("slope_rank"))
@@ -77,7 +76,7 @@ def located_groups(rows: DataFrame, spatial: SpatialConfig) -> DataFrame:
     possible = group_profile(rows).filter(
         F.col("all_located") & ~F.col("level_constant") & (F.col("n_stations") >= spatial.min_stations)
     )
-    return rows.join(possible.select(GROUP), GROUP, "left_semi")
+    return join_groups(rows, possible.select(GROUP), GROUP, "left_semi")
 
 
 def risk_and_hotspots(

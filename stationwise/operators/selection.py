@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from stationwise.functions.geo import grid_cell, haversine_km, valid_position
 from stationwise.session import cut_lineage
 
 CELL = ["lat_cell", "lon_cell"]
+#: Picks after which the distances to the nearest pick are written.
+CUT_EVERY = 5
 
 
 def with_cell(stations: DataFrame, degrees: float) -> DataFrame:
@@ -28,9 +31,10 @@ def network_prior(station_id: Column) -> Column:
 def choose_candidates(inventory: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:
     """Up to n candidates per grid cell, best network and longest record first.
 
-    Required stations that are in the pool are always added. The limit per cell
-    is applied before the shuffle on the map side (window group limit), and the
-    overall limit is the size of the list asked for.
+    Without limits the whole pool is returned in its order within the cells. A
+    limit per cell is applied before the shuffle (window group limit). Required
+    stations that are in the pool are always added; ``candidates_cut`` counts
+    what the limits left out.
     """
     pool = with_cell(
         inventory.filter(
@@ -43,17 +47,26 @@ def choose_candidates(inventory: DataFrame, config: SelectionConfig = SelectionC
     order = Window.partitionBy(*CELL).orderBy(
         F.desc(network_prior(F.col("station_id"))), "first_year", F.desc("last_year"), "station_id"
     )
-    columns = ["station_id", "lat", "lon", "first_year", "last_year", *CELL]
-    ranked = pool.withColumn("position", F.row_number().over(order)).filter(
-        F.col("position") <= config.candidates_per_cell
-    )
-    chosen = ranked.orderBy("position", *CELL, "station_id").limit(config.max_candidates).select(*columns)
+    columns = ["station_id", "lat", "lon", "first_year", "last_year", *CELL, "position"]
+    chosen = pool.withColumn("position", F.row_number().over(order))
+    if config.candidates_per_cell is not None:
+        chosen = chosen.filter(F.col("position") <= config.candidates_per_cell)
+    if config.max_candidates is not None:
+        chosen = chosen.orderBy("position", *CELL, "station_id").limit(config.max_candidates)
+    chosen = chosen.select(*columns)
     if not config.required:
         return chosen
-    required = pool.filter(F.col("station_id").isin(*config.required)).select(*columns)
+    required = pool.filter(F.col("station_id").isin(*config.required)).withColumn("position", F.lit(0)).select(*columns)
     return chosen.unionByName(required.join(chosen.select("station_id"), "station_id", "left_anti"))
 
 
+def candidates_cut(inventory: DataFrame, config: SelectionConfig) -> DataFrame:
+    """Number of candidates that the limits of the configuration leave out."""
+    whole = choose_candidates(inventory, replace(config, candidates_per_cell=None, max_candidates=None))
+    kept = choose_candidates(inventory, config).select("station_id")
+    return whole.join(kept, "station_id", "left_anti").agg(F.count(F.lit(1)).alias("candidates_cut"))
+
+
 def passing(results: DataFrame) -> DataFrame:
     """Screened stations that meet every rule."""
     return results.filter(
@@ -96,7 +109,7 @@ def select_stations(
             best.withColumn("place", F.col("taken") + 1).select(*chosen.columns)
         )
         remaining = remaining.join(best.select("station_id"), "station_id", "left_anti")
-        remaining = _far_from(remaining, best, config).withColumn("taken", F.col("taken") + 1)
+        remaining = cut_lineage(_far_from(remaining, best, config).withColumn("taken", F.col("taken") + 1))
     return chosen
 
 
@@ -124,25 +137,33 @@ def farthest_points(
     Ties go to the first station in ``tie_columns`` order. Without a start
     station the first one in that order begins.
     """
-    stations = cut_lineage(stations)
+    places = cut_lineage(stations.select(*dict.fromkeys(["station_id", "lat", "lon", *tie_columns])))
     tie = F.struct(*tie_columns)
     picked = [
         (r["station_id"], r["lat"], r["lon"])
-        for r in stations.filter(F.col("station_id").isin(*start)).select("station_id", "lat", "lon").collect()
+        for r in places.filter(F.col("station_id").isin(*start)).select("station_id", "lat", "lon").collect()
     ] if start else []
     if not picked:
-        row = stations.agg(F.min_by(F.struct("station_id", "lat", "lon"), tie).alias("r")).first()["r"]
+        row = places.agg(F.min_by(F.struct("station_id", "lat", "lon"), tie).alias("r")).first()["r"]
         picked = [tuple(row)] if row is not None else []
-    while len(picked) < limit:
-        kept = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for _, a, b in picked])
-        nearest = F.array_min(
-            F.transform(kept, lambda q: haversine_km(F.col("lat"), F.col("lon"), q["lat"], q["lon"], radius_km))
+
+    def nearer(rest: DataFrame, fresh: list[tuple]) -> DataFrame:
+        """The rest without fresh picks, its distance to the nearest pick brought up to date."""
+        far = [haversine_km(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b), radius_km) for _, a, b in fresh]
+        return rest.filter(~F.col("station_id").isin(*[p[0] for p in fresh])).withColumn(
+            "nearest", F.least(F.col("nearest"), *far)
         )
-        rest = stations.filter(~F.col("station_id").isin(*[p[0] for p in picked])).withColumn("nearest", nearest)
+
+    if picked:
+        rest = nearer(places.withColumn("nearest", F.lit(float("inf"))), picked)
+    while picked and len(picked) < limit:
         row = rest.orderBy(F.desc("nearest"), *tie_columns).select("station_id", "lat", "lon").first()
         if row is None:
             break
         picked.append(tuple(row))
+        rest = nearer(rest, picked[-1:])
+        if len(picked) % CUT_EVERY == 0:
+            rest = cut_lineage(rest)
     order = {station: position for position, (station, _, _) in enumerate(picked, start=1)}
     pairs = [F.lit(item) for pair in order.items() for item in pair]
     if not pairs:
@@ -153,8 +174,8 @@ def farthest_points(
 
 
 def thin_selection(selected: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:
-    """At most the wanted number of stations, thinned by farthest points."""
-    if selected.count() <= config.max_stations:
+    """The wanted number of stations, thinned by farthest points; all of them without a limit."""
+    if config.max_stations is None:
         return selected
     kept = farthest_points(
         selected, config.max_stations, config.required, config.earth_radius_km, (*CELL, "place")

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from stationwise.functions.geo import haversine_km
 from stationwise.functions.stats import hotspot_class, two_sided_p
-from stationwise.session import cut_lineage
+from stationwise.session import cut_lineage, join_groups
 
-FINEST_LEVEL = 21
+FINEST_LEVEL = 26
 REACH = 2
 SALTS = 16
 DISTANCE_DECIMALS = 6
@@ -137,7 +137,7 @@ def gi_star(points: DataFrame, edges: DataFrame, group: str, value: str, id_colu
     spread = F.sqrt(F.col("variance") * (F.col("n") * F.col("weight") - F.col("weight") * F.col("weight")) / (F.col("n") - 1))
     z = (F.col("local_sum") - F.col("mean") * F.col("weight")) / spread
     return (
-        neighbours.join(moments.filter(~F.col("constant") & (F.col("n") > 1)), group)
+        join_groups(neighbours, moments.filter(~F.col("constant") & (F.col("n") > 1)), group)
         .withColumn("gi_z", F.when(spread > 0, z))
         .withColumn("gi_p", two_sided_p(F.col("gi_z")))
         .select(
@@ -159,7 +159,7 @@ def morans_i(points: DataFrame, edges: DataFrame, group: str, value: str, id_col
     """
     moments = _group_moments(points, group, value).filter(~F.col("constant") & (F.col("n") > 3))
     deviations = (
-        points.join(moments.select(group, "mean"), group)
+        join_groups(points, moments.select(group, "mean"), group)
         .select(group, F.col(id_column).alias("i"), (F.col(value) - F.col("mean")).alias("z"))
     )
     degrees = edges.groupBy(group, "i").agg(F.count(F.lit(1)).alias("degree"))

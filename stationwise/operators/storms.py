@@ -38,9 +38,15 @@ def expand_days(records: DataFrame, begin: str, end: str, name: str = "day") ->
     return records.withColumn(name, F.explode(F.sequence(begin, end)))
 
 
-def capped_end(begin: Column, end: Column, max_days: int) -> Column:
-    """End not before the begin and not more than ``max_days`` after it."""
-    return F.least(F.greatest(begin, end), F.date_add(begin, max_days))
+def capped_end(begin: Column, end: Column, max_days: int | None) -> Column:
+    """End not before the begin and, if a limit is set, not more than ``max_days`` after it."""
+    end = F.greatest(begin, end)
+    return end if max_days is None else F.least(end, F.date_add(begin, max_days))
+
+
+def days_cut(begin: Column, end: Column, max_days: int | None) -> Column:
+    """Days that the limit takes from an interval, for reports."""
+    return F.datediff(F.greatest(begin, end), capped_end(begin, end, max_days))
 
 
 def _by_category(frame: DataFrame, column: str, lists: Mapping[str, list[str]]) -> DataFrame:
@@ -63,6 +69,8 @@ def storm_state_days(storm: DataFrame, config: StormConfig, categories: Mapping[
         )
         .filter(F.col("begin").isNotNull() & F.col("end").isNotNull())
         .withColumn("end", capped_end(F.col("begin"), F.col("end"), config.max_record_days))
+        # Equal intervals are one before they become days.
+        .distinct()
     )
     return expand_days(dated, "begin", "end").select(*CATEGORY_DAYS).distinct()
 

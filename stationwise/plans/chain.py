@@ -78,15 +78,15 @@ def summary_tables(
     a = panel.station_year_metrics(tables["flagged"], tables["thresholds"], tables["events"], metadata, places)
     a = writers.write_parquet(a, f"{folder}/station_year_metrics")
     if not checks.duplicate_keys(a, ["station_id", "year"]).isEmpty():
-        raise ValueError("duplicate station-year keys")
+        raise ValueError("a station and year has more than one row")
     if not checks.out_of_range_percent(a).isEmpty():
         raise ValueError("completeness outside 0..100")
     writers.require_rows(a, "station-year table")
     e = writers.write_parquet(panel.station_events(tables["events"]), f"{folder}/station_events")
     b = writers.write_parquet(trends.station_summary(a, config), f"{folder}/station_trends")
-    problems = checks.summary_problems(b, a, config)
-    if problems:
-        raise ValueError(f"station summary: {problems}")
+    faults = [row["rule"] for row in checks.summary_faults(b, a, config).filter("broken > 0").collect()]
+    if faults:
+        raise ValueError(f"Table B breaks its rules: {faults}")
     filled, c = risk.risk_and_hotspots(a, b, config, spatial)
     filled = writers.write_parquet(filled, f"{folder}/station_summary")
     c = writers.write_parquet(c, f"{folder}/global_stats")

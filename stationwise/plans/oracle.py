@@ -24,7 +24,7 @@ def with_(*parts: str, select: str) -> str:
 
 
 def sid(key: str) -> str:
-    return f"'ST' || lpad(({key})::VARCHAR, 9, '0')"
+    return f"'ST' || repeat('0', greatest(9 - length(({key})::VARCHAR), 0)) || ({key})::VARCHAR"
 
 
 def lat(key: str) -> str:
@@ -285,7 +285,7 @@ tested AS (
 newest AS (SELECT station_id, max(year) AS year FROM table_a GROUP BY 1),
 table_b AS (
   SELECT a.station_id, lat, lon, region_name, country, continent, y.event_type,
-         CASE WHEN coalesce(n, 0) >= {r.min_trend_years} THEN round(slope * 10, 3) END AS trend_slope,
+         CASE WHEN coalesce(n, 0) >= {r.min_trend_years} THEN round_even(slope * 10, 3) END AS trend_slope,
          CASE WHEN coalesce(n, 0) >= {r.min_trend_years} THEN round_even({two_sided_p(z)}, 4) END AS trend_p_value,
          coalesce(n, 0) AS years_used, coalesce(n, 0) >= {r.min_trend_years} AS trend_eligible
   FROM newest w JOIN table_a a ON w.station_id = a.station_id AND w.year = a.year CROSS JOIN types y
@@ -416,13 +416,13 @@ def storm_days() -> str:
     )
     return f"""
 records AS (
-  SELECT upper(n_name) AS state, o_orderdate::DATE AS b, o_orderdate::DATE + (o_orderkey % 3)::INTEGER AS e,
+  SELECT upper(n_name) AS state, o_orderdate::DATE AS b, o_orderdate::DATE + (o_orderkey % 3 + CASE WHEN o_orderkey % 97 = 0 THEN 150 ELSE 0 END)::INTEGER AS e,
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Heat' WHEN '2' THEN 'Flood' WHEN '3' THEN 'Drought'
            WHEN '4' THEN 'Frost/Freeze' ELSE 'Hail' END AS event_type, year(o_orderdate) AS y
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 storm_days AS (
   SELECT DISTINCT CASE {kinds} END AS category, state,
-         unnest(generate_series(b, least(e, b + 120), INTERVAL 1 DAY))::DATE AS day
+         unnest(generate_series(b, e, INTERVAL 1 DAY))::DATE AS day
   FROM records WHERE event_type <> 'Hail')"""
 
 
@@ -559,6 +559,9 @@ UNION ALL SELECT station_id, event_type, start_date, 1, round(intensity_value, 2
     q["tmax_anomaly"] = with_(*to_a, select="SELECT station_id, year::INTEGER AS year, tmax_anomaly_mean, days_present_pct FROM day_year")
     q["trend_theil_sen"] = with_(supplier_series, supplier_pairs, select="""
 SELECT l_suppkey, round(median(slope), 6) AS slope_per_year FROM pairs GROUP BY 1""")
+    q["trend_decades"] = with_("""
+vals AS (SELECT l_suppkey, year(l_shipdate)::INTEGER AS year, count(*) / 160.0::DOUBLE AS value FROM lineitem GROUP BY 1, 2)""", supplier_pairs, select="""
+SELECT l_suppkey, round_even(median(slope) * 10, 3) AS trend_slope FROM pairs GROUP BY 1""")
     q["mann_kendall"] = with_(supplier_series, supplier_pairs, f"""
 sums AS (SELECT l_suppkey, sum(sg)::BIGINT AS mk_s FROM pairs GROUP BY 1),
 sizes AS (SELECT l_suppkey, count(*) AS n FROM vals GROUP BY 1),
@@ -655,9 +658,9 @@ SELECT event_type, round(avg(value) FILTER (WHERE region_name = 'NATION_1'), 6)
 FROM vals_a WHERE region_name IN ('NATION_1', 'NATION_2') GROUP BY 1""")
 
     q["tolerance_match"] = with_(nation, f"""
-large AS (SELECT DISTINCT {sid('c_nationkey')} AS state, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 495000)""",
+large AS (SELECT DISTINCT {sid('c_nationkey')} AS state, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE TRUE)""",
         select="""
-SELECT station_id AS state, date AS day FROM day_obs d WHERE prcp >= 40
+SELECT station_id AS state, date AS day FROM day_obs d WHERE prcp > 0
 AND EXISTS (SELECT 1 FROM large l WHERE l.state = d.station_id AND l.day BETWEEN d.date - 1 AND d.date + 1)""")
     q["storm_days"] = with_(storm_days(), select="SELECT * FROM storm_days")
     kinds = " ".join(
@@ -690,18 +693,23 @@ SELECT category, stations, states, detected_state_days, round_even(pr, 4) AS pre
        round_even(br, 4) AS base_rate, CASE WHEN br > 0 THEN round_even(pr / br, 1) END AS lift FROM rates""")
     q["date_expand_capped"] = """WITH spans AS (
   SELECT o_orderdate::DATE AS b, max(l_shipdate)::DATE AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate)
-SELECT day, count(*) AS open_orders FROM (SELECT unnest(generate_series(b, least(greatest(b, e), b + 120), INTERVAL 1 DAY))::DATE AS day FROM spans) GROUP BY 1"""
+SELECT day, count(*) AS open_orders FROM (SELECT unnest(generate_series(b, greatest(b, e), INTERVAL 1 DAY))::DATE AS day FROM spans) GROUP BY 1"""
     q["geo_lookup"] = f"""WITH s AS (
-  SELECT (CASE WHEN n_nationkey % 3 = 0 THEN 'RS' ELSE 'US' END) || lpad(n_nationkey::VARCHAR, 9, '0') AS station_id, {lon('n_nationkey')} AS lon,
-         n_nationkey % 10 AS digit, n_nationkey % 3 = 0 AS russia FROM nation)
-SELECT station_id, CASE WHEN russia THEN 'Europe' ELSE coalesce(r_name, 'America') END AS region_name,
-       CASE WHEN russia THEN 'Europe' ELSE 'America' END AS country,
-       CASE WHEN NOT russia THEN 'AMERICA' WHEN lon < 60 THEN 'Europe' ELSE 'Asia' END AS continent
-FROM s LEFT JOIN region ON digit = r_regionkey"""
+  SELECT substr(upper(r_name), 1, 2) AS code, n_regionkey, n_nationkey, {lon('n_nationkey')} AS lon, n_nationkey % 10 AS digit, r_name AS home
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+coded AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'RS' WHEN n_nationkey % 3 = 1 THEN 'US' ELSE code END AS code, * EXCLUDE (code) FROM s),
+named AS (
+  SELECT code || lpad(n_nationkey::VARCHAR, 9, '0') AS station_id, code, lon,
+         CASE code WHEN 'RS' THEN 'Russia' WHEN 'US' THEN 'United States' ELSE upper(home[1]) || lower(home[2:]) END AS country,
+         CASE code WHEN 'US' THEN r.r_name END AS state_name, home
+  FROM coded LEFT JOIN region r ON digit = r.r_regionkey)
+SELECT station_id, coalesce(state_name, country) AS region_name, country,
+       CASE WHEN code = 'US' THEN 'AMERICA' WHEN code = 'RS' THEN CASE WHEN lon < 60 THEN 'Europe' ELSE 'Asia' END ELSE home END AS continent
+FROM named"""
     q["phase_runs"] = with_(PHASES, select="SELECT * FROM phases")
 
     q["fixed_width_daily"] = with_(nation, LONG_OBS, select="""
-SELECT station_id, date, element, floor(value / 10.0::DOUBLE) / 10.0::DOUBLE AS value, CASE WHEN element = 'PRCP' THEN 'mm' ELSE 'degrees_C' END AS unit FROM long_obs""")
+SELECT station_id, date, element, (floor(value)::BIGINT % 100000) / 10.0::DOUBLE AS value, CASE WHEN element = 'PRCP' THEN 'mm' ELSE 'degrees_C' END AS unit FROM long_obs""")
     key = "substr(station_id, 3, 9)::INTEGER"
     q["fixed_width_inventory"] = with_(nation, select=f"""
 SELECT station_id, round({lat(key)}, 4) AS lat, round({lon(key)}, 4) AS lon, min(year(date))::INTEGER AS first_year, max(year(date))::INTEGER AS last_year
@@ -709,9 +717,9 @@ FROM day_obs GROUP BY 1""")
 
     prior = "CASE WHEN substr(station_id, 3, 1) IN ('W', 'M', 'N', 'E') THEN 2 ELSE 0 END"
     q["candidate_choice"] = with_(results, select=f"""
-SELECT station_id, lat_cell, lon_cell, first_year, last_year FROM (
+SELECT station_id, lat_cell, lon_cell, first_year, last_year, rn::INTEGER AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY lat_cell, lon_cell ORDER BY {prior} DESC, first_year, last_year DESC, station_id) AS rn
-  FROM results WHERE first_year <= 1995 AND last_year >= 2001) WHERE rn <= 2 ORDER BY rn, lat_cell, lon_cell, station_id LIMIT 40""")
+  FROM results WHERE first_year <= 1995 AND last_year >= 2001)""")
     q["spread_selection"] = with_(results, picks, select="SELECT station_id, lat_cell, lon_cell, place FROM picked")
     q["screening_totals"] = with_(results, picks, """
 marks AS (SELECT CASE WHEN lon < 0 THEN 'West' ELSE 'East' END AS continent, 1 AS screened, (years >= 7)::INTEGER AS passing,
@@ -730,8 +738,11 @@ SELECT count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS common, co
     q["merged_results"] = with_(results, select="""
 SELECT station_id, busy AS baseline_valid_years, CASE WHEN busy >= 3 THEN 'ok' ELSE 'not_found' END AS status FROM results""")
 
-    q["anti_join_check"] = """SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (
-  SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#11' AND l_suppkey = s_suppkey)"""
+    sides = {"urgent": "o_orderpriority = '1-URGENT'", "finished": "o_orderstatus = 'F'"}
+    keys = "o_custkey, year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month, day(o_orderdate)::INTEGER AS day"
+    one, two = (f"SELECT DISTINCT {keys} FROM orders WHERE {rule}" for rule in sides.values())
+    q["anti_join_check"] = f"""SELECT 'urgent' AS only_in, * FROM ({one} EXCEPT {two}) UNION ALL
+SELECT 'finished' AS only_in, * FROM ({two} EXCEPT {one})"""
     q["duplicate_keys"] = "SELECT l_orderkey, l_linenumber, count(*) AS records FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"
     q["null_profile"] = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM documents"
@@ -747,8 +758,11 @@ SELECT (SELECT count(*) FROM compound) AS compound_events, (SELECT count(*) FROM
        count(*) FILTER (WHERE event_type = 'DRY_SPELL' AND duration_days < {n.dry_min_days}) AS short_dry_spells FROM ev""")
     q["event_durations"] = with_(*to_events, select="""
 SELECT event_type, count(*) AS event_count, min(duration_days) AS minimum_days, max(duration_days) AS maximum_days FROM ev GROUP BY 1""")
-    q["invalid_events"] = with_(*to_events, select="""
-SELECT * FROM ev WHERE end_date < start_date OR duration_days < 1 OR end_date - start_date + 1 <> duration_days""")
+    q["invalid_events"] = with_(*to_events, """
+bent AS (SELECT * REPLACE (CASE WHEN day(start_date) % 5 = 0 THEN start_date - 1 ELSE end_date END AS end_date,
+                           CASE WHEN day(start_date) % 7 = 0 THEN duration_days + 1 ELSE duration_days END AS duration_days) FROM ev)""", select="""
+SELECT * FROM bent WHERE end_date < start_date OR duration_days < 1
+UNION ALL SELECT * FROM bent WHERE end_date - start_date + 1 <> duration_days""")
     q["longest_dry_spells"] = with_(*to_events, select="""
 SELECT station_id, start_date, end_date, duration_days, intensity_value FROM ev WHERE event_type = 'DRY_SPELL'
 ORDER BY duration_days DESC, station_id, start_date LIMIT 10""")

@@ -341,6 +341,19 @@ def trend_theil_sen(spark, folder):
     return series.select("l_suppkey", F.round("slope_per_year", 6).alias("slope_per_year"))
 
 
+@query
+def trend_decades(spark, folder):
+    """Slope per decade of every supplier's yearly lines over 160, rounded half to even: ties at the third decimal are common."""
+    yearly = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
+        .agg((F.count(F.lit(1)) / 160.0).alias("value"))
+    )
+    series = yearly.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("year", "value"))).alias("series"))
+    slopes = trends.trend_columns(series)
+    return slopes.select("l_suppkey", F.bround(F.col("slope_per_year") * 10.0, 3).alias("trend_slope"))
+
+
 @query
 def mann_kendall(spark, folder):
     series = trends.trend_columns(_supplier_series(spark, folder))
@@ -551,11 +564,11 @@ def dashboard_compare(spark, folder):
 
 @query
 def tolerance_match(spark, folder):
-    """Rainy days of a nation with a large order of its customers within one day."""
-    days = day_observations(spark, folder, "nation").filter(F.col("prcp") >= 40).select(
+    """Rainy days of a nation with an order of its customers within one day."""
+    days = day_observations(spark, folder, "nation").filter(F.col("prcp") > 0).select(
         F.lit("rain").alias("category"), F.col("station_id").alias("state"), F.col("date").alias("day")
     )
-    orders = table(spark, folder, "orders").filter(F.col("o_totalprice") > 495000)
+    orders = table(spark, folder, "orders")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     large = (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -584,37 +597,45 @@ def storm_days(spark, folder):
 
 @query
 def date_expand_capped(spark, folder):
-    """Open days of every order: order date to its last ship date, at most 120 days on."""
+    """Open days of every order: order date to its last ship date. Equal spans are counted before they become days."""
     shipped = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("shipped"))
     orders = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("begin"))
     spans = orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        "begin", storms.capped_end(F.col("begin"), F.col("shipped"), 120).alias("end")
+        "begin", storms.capped_end(F.col("begin"), F.col("shipped"), None).alias("end")
     )
-    return storms.expand_days(spans, "begin", "end").groupBy("day").agg(F.count(F.lit(1)).alias("open_orders"))
+    spans = spans.groupBy("begin", "end").agg(F.count(F.lit(1)).alias("orders"))
+    return storms.expand_days(spans, "begin", "end").groupBy("day").agg(F.sum("orders").alias("open_orders"))
 
 
 @query
 def geo_lookup(spark, folder):
-    """Region, country and continent of nation stations with lookup fallbacks."""
-    nations = table(spark, folder, "nation")
-    code = F.substring("n_name", 1, 2)
+    """Region, country and continent of all nation stations with lookup fallbacks."""
+    regions = table(spark, folder, "region")
+    nations = table(spark, folder, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey")
+    home = F.upper(F.substring("r_name", 1, 2))
+    code = F.when(key % 3 == 0, "RS").when(key % 3 == 1, "US").otherwise(home)
     metadata = nations.select(
-        F.concat(F.when(F.col("n_nationkey") % 3 == 0, "RS").otherwise("US"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("station_id"),
-        pseudo_lon(F.col("n_nationkey")).alias("lon"),
+        F.concat(code, F.lpad(key.cast("string"), 9, "0")).alias("station_id"), pseudo_lon(key).alias("lon")
     )
     states = metadata.select("station_id", F.concat(F.lit("S"), F.substring("station_id", 11, 1)).alias("state"))
-    regions = table(spark, folder, "region")
-    countries = regions.filter(F.col("r_name").isin("AMERICA", "EUROPE")).select(
-        F.when(F.col("r_name") == "AMERICA", "US").otherwise("RS").alias("country_code"),
-        F.initcap("r_name").alias("country"),
-        F.col("r_name").alias("continent"),
+    countries = regions.select(home.alias("country_code"), F.concat(F.substring("r_name", 1, 1), F.lower(F.expr("substring(r_name, 2)"))).alias("country"), F.col("r_name").alias("continent"))
+    known = regions.filter(F.col("r_regionkey") == 0).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(*[F.lit(x).alias(c) for c, x in zip(("country_code", "country", "continent"), row)])
+                    for row in (("US", "United States", "AMERICA"), ("RS", "Russia", "EUROPE"))
+                ]
+            )
+        )
     )
     subdivisions = regions.select(
         F.lit("US").alias("country_code"),
         F.concat(F.lit("S"), F.col("r_regionkey").cast("string")).alias("state_code"),
         F.col("r_name").alias("region_name"),
     )
-    return geography.station_geography(metadata, states, countries, subdivisions)
+    return geography.station_geography(metadata, states, countries.unionByName(known), subdivisions)
 
 
 @query
@@ -644,8 +665,7 @@ def fixed_width_inventory(spark, folder):
 # ---- selection ------------------------------------------------------------------
 
 SUPPLIER_SELECTION = SelectionConfig(
-    first_year=1995, last_year=2001, cell_degrees=30.0, candidates_per_cell=2, max_candidates=40,
-    per_cell=2, min_separation_km=600.0, max_stations=120, required=(),
+    first_year=1995, last_year=2001, cell_degrees=30.0, per_cell=2, min_separation_km=600.0, required=(),
 )
 
 
@@ -682,7 +702,7 @@ def supplier_results(spark, folder):
 @query
 def candidate_choice(spark, folder):
     chosen = selection.choose_candidates(supplier_results(spark, folder), SUPPLIER_SELECTION)
-    return chosen.select("station_id", "lat_cell", "lon_cell", "first_year", "last_year")
+    return chosen.select("station_id", "lat_cell", "lon_cell", "first_year", "last_year", "position")
 
 
 @query
@@ -742,12 +762,16 @@ def merged_results(spark, folder):
 
 @query
 def anti_join_check(spark, folder):
-    """Suppliers without any line of one part brand, by left anti join."""
-    lines = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey")
-    brand = table(spark, folder, "part").filter(F.col("p_brand") == "Brand#11").select("p_partkey")
-    sold = lines.join(brand, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_suppkey").distinct()
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name")
-    return suppliers.join(sold, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
+    """Customer days with urgent orders only or with finished orders only: a two-sided difference on four keys."""
+    keys = ["o_custkey", "year", "month", "day"]
+    orders = table(spark, folder, "orders").withColumns(
+        {"year": F.year("o_orderdate"), "month": F.month("o_orderdate"), "day": F.dayofmonth("o_orderdate")}
+    )
+    urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT").select(*keys).distinct()
+    finished = orders.filter(F.col("o_orderstatus") == "F").select(*keys).distinct()
+    return urgent.join(finished, keys, "left_anti").withColumn("only_in", F.lit("urgent")).unionByName(
+        finished.join(urgent, keys, "left_anti").withColumn("only_in", F.lit("finished"))
+    )
 
 
 @query
@@ -782,8 +806,13 @@ def event_durations(spark, folder):
 
 @query
 def invalid_events(spark, folder):
-    """Event rows with broken dates or durations: none."""
-    found = reused(nation_events(spark, folder))
+    """Event rows with broken dates or durations, in a table in which some are bent."""
+    start = F.dayofmonth("start_date")
+    found = reused(
+        nation_events(spark, folder)
+        .withColumn("end_date", F.when(start % 5 == 0, F.date_sub("start_date", 1)).otherwise(F.col("end_date")))
+        .withColumn("duration_days", F.when(start % 7 == 0, F.col("duration_days") + 1).otherwise(F.col("duration_days")))
+    )
     return checks.invalid_event_dates(found).unionByName(checks.duration_mismatches(found))
 
 

@@ -53,8 +53,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def station_id(key: Column) -> Column:
-    """Eleven characters, like a station id of the fixed-width layouts."""
-    return F.concat(F.lit("ST"), F.lpad(key.cast("string"), 9, "0"))
+    """At least eleven characters, like a station id of the fixed-width layouts; longer keys stay whole."""
+    digits = key.cast("string")
+    return F.concat(F.lit("ST"), F.repeat(F.lit("0"), F.greatest(9 - F.length(digits), F.lit(0))), digits)
 
 
 def day_observations(spark: SparkSession, folder: str, grain: str = "nation") -> DataFrame:
@@ -140,7 +141,8 @@ def storm_records(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     priority = F.substring("o_orderpriority", 1, 1)
     text = "dd-MMM-yy HH:mm:ss"
-    end = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 3).cast("int"))
+    long = F.when(F.col("o_orderkey") % 97 == 0, 150).otherwise(0)
+    end = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 3 + long).cast("int"))
     return (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -173,7 +175,7 @@ def monthly_index_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def tenths(wide: DataFrame) -> DataFrame:
     """Long observations as whole numbers that fit the fixed-width layout."""
-    return wide_to_long(wide).withColumn("raw_value", F.floor(F.col("value") / 10.0).cast("int"))
+    return wide_to_long(wide).withColumn("raw_value", F.pmod(F.floor("value"), F.lit(100_000)).cast("int"))
 
 
 def inventory_lines(wide: DataFrame) -> DataFrame:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Groups up to which their table is broadcast.
+MOST_GROUPS = 50_000
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
@@ -46,7 +51,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark)}/stationwise/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and read it back."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the frame as Parquet to the shared folder and read it back.
+
+    Later plans prune columns and push filters into the written table.
+    """
+    spark = frame.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables; results that read them must have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_groups(frame: DataFrame, groups: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join one row per group without shuffling the rows by group.
+
+    The group table is written and counted; up to a fixed number of rows it is
+    broadcast, beyond it there are so many groups that a plain join is spread.
+    """
+    groups = cut_lineage(groups)
+    return frame.join(F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups, on, how)

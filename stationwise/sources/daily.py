@@ -82,6 +82,12 @@ def read_daily(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return clean_daily(parse_daily_lines(read_lines(spark, paths)))
 
 
+def fitted(text: Column, width: int) -> Column:
+    """Text padded to a field's width; a longer one is an error, never cut."""
+    wide = F.raise_error(F.concat(F.lit("value too wide for its field: "), text)).cast("string")
+    return F.when(F.length(text) > width, wide).otherwise(F.lpad(text, width, " "))
+
+
 def format_daily_lines(observations: DataFrame) -> DataFrame:
     """The same layout from (station_id, date, element, raw_value): the inverse of the parser.
 
@@ -99,12 +105,12 @@ def format_daily_lines(observations: DataFrame) -> DataFrame:
     blocks = F.transform(
         F.sequence(F.lit(1), F.lit(31)),
         lambda day: F.coalesce(
-            F.concat(F.lpad(F.col("days")[day].cast("string"), 5, " "), F.lit("  S")), F.lit("-9999   ")
+            F.concat(fitted(F.col("days")[day].cast("string"), 5), F.lit("  S")), F.lit("-9999   ")
         ),
     )
     return months.select(
         F.concat(
-            F.rpad("station_id", 11, " "),
+            F.reverse(fitted(F.reverse("station_id"), 11)),
             F.lpad(F.col("year").cast("string"), 4, "0"),
             F.lpad(F.col("month").cast("string"), 2, "0"),
             F.col("element"),

@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from stationwise.session import local_session  # noqa: E402
+from stationwise.session import clear_work, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, memory="6g", partitions=4)
     yield session
+    clear_work(session)
     session.stop()

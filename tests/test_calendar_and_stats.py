@@ -47,8 +47,9 @@ def test_two_sided_p_matches_error_function(spark):
 
 
 def test_hotspot_classes(spark):
-    cases = [(1.7, 0.089, "Hot spot 90%"), (2.0, 0.0455, "Hot spot 95%"), (-2.7, 0.007, "Cold spot 99%"),
-             (1.0, 0.3173, "Not significant"), (float("nan"), float("nan"), None)]
+    cases = [(z, p, None if math.isnan(p) else "Not significant" if p >= 0.1 else f"{'Hot' if z > 0 else 'Cold'} spot {level}%")
+             for z in (-3.3, 0.4, 2.9) for p, level in ((0.0099, 99), (0.01, 95), (0.0499, 95), (0.05, 90), (0.0999, 90), (0.1, 0), (0.7, 0))]
+    cases.append((float("nan"), float("nan"), None))
     frame = spark.createDataFrame([(i, z, p) for i, (z, p, _) in enumerate(cases)], "i int, z double, p double")
     rows = frame.select("i", hotspot_class(F.col("z"), F.col("p")).alias("c")).collect()
     assert {r["i"]: r["c"] for r in rows} == {i: c for i, (_, _, c) in enumerate(cases)}

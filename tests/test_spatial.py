@@ -57,12 +57,22 @@ def test_groups_smaller_than_k(spark):
     compare(spark, points, 5)
 
 
-def calibration_values():
-    lat, lon = np.meshgrid([-35 + 10 * i for i in range(8)], [-70 + 20 * i for i in range(8)], indexing="ij")
+def unrelated_values(runs=150, sites=50):
+    """Runs of values without any spatial order on scattered sites."""
     frames = []
-    for seed in range(200):
-        y = np.random.default_rng(1000 + seed).poisson(8, 64).astype(float)
-        frames.append(pd.DataFrame({"g": seed, "station_id": [f"S{i:02d}" for i in range(64)], "lat": lat.ravel(), "lon": lon.ravel(), "level": y}))
+    for run in range(runs):
+        rng = np.random.default_rng([run, 606])
+        frames.append(
+            pd.DataFrame(
+                {
+                    "g": run,
+                    "station_id": [f"u{i:03d}" for i in range(sites)],
+                    "lat": rng.uniform(-55, 65, sites).round(3),
+                    "lon": rng.uniform(-175, 175, sites).round(3),
+                    "level": rng.exponential(10, sites).round(4),
+                }
+            )
+        )
     return pd.concat(frames)
 
 
@@ -85,21 +95,22 @@ def numpy_statistics(part, k):
     return dict(zip(part["station_id"], z_gi)), index, math.erfc(abs((index - e) / math.sqrt(var)) / math.sqrt(2))
 
 
-def test_statistics_and_their_calibration(spark):
-    values = calibration_values()
+def test_statistics_and_their_false_alarms(spark):
+    values = unrelated_values()
     points = spark.createDataFrame(values).persist()
-    edges = nearest_neighbours(points, 5, "g", RADIUS).persist()
+    edges = nearest_neighbours(points, 4, "g", RADIUS).persist()
     spots = gi_star(points, edges, "g", "level").toPandas()
     global_rows = morans_i(points, edges, "g", "level").toPandas().set_index("g")
-    assert len(spots) == 200 * 64 and len(global_rows) == 200
-    assert 0.02 <= (global_rows["morans_p"] < 0.05).mean() <= 0.09
-    assert 0.02 <= (spots["gi_p"] < 0.05).mean() <= 0.08
-    for seed in (0, 17, 113):
-        z, index, p = numpy_statistics(values[values["g"] == seed], 5)
-        mine = spots[spots["g"] == seed].set_index("station_id")["gi_z"]
+    assert len(spots) == len(values) and len(global_rows) == values["g"].nunique()
+    # About one in twenty at the five per cent level, within the spread of so many runs.
+    assert 0.005 <= (global_rows["morans_p"] < 0.05).mean() <= 0.12
+    assert 0.015 <= (spots["gi_p"] < 0.05).mean() <= 0.09
+    for run in (4, 71, 149):
+        z, index, p = numpy_statistics(values[values["g"] == run], 4)
+        mine = spots[spots["g"] == run].set_index("station_id")["gi_z"]
         assert all(mine[s] == pytest.approx(z[s], abs=1e-9) for s in z)
-        assert global_rows.loc[seed, "morans_i"] == pytest.approx(index, abs=1e-9)
-        assert global_rows.loc[seed, "morans_p"] == pytest.approx(p, abs=1e-9)
+        assert global_rows.loc[run, "morans_i"] == pytest.approx(index, abs=1e-9)
+        assert global_rows.loc[run, "morans_p"] == pytest.approx(p, abs=1e-9)
 
 
 def test_constant_group_has_no_statistics(spark):
@@ -128,7 +139,11 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in got.collect()} == {v: root(v) for v in nodes}
 
 
-def test_two_far_groups_are_two_components(spark):
-    rows = [(f"A{i}", 10.0, float(i)) for i in range(6)] + [(f"B{i}", 10.0, 150.0 + i) for i in range(6)]
-    groups = neighbour_groups(spark.createDataFrame(rows, "station_id string, lat double, lon double"))
-    assert groups.agg(F.count_distinct("component")).first()[0] == 2
+def test_clusters_of_any_size_are_their_own_components(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for cluster, (lat, lon, n) in enumerate([(-48, -70, 9), (12, 8, 14), (61, 130, 8)]):
+        rows += [(f"q{cluster}{i:02d}", float(lat + x), float(lon + y)) for i, (x, y) in enumerate(rng.normal(0, 0.5, (n, 2)))]
+    stations = spark.createDataFrame(rows, "station_id string, lat double, lon double")
+    labels = neighbour_groups(stations).toPandas()
+    assert (labels["component"].str[:2] == labels["station_id"].str[:2]).all() and labels["component"].nunique() == 3

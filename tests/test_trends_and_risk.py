@@ -1,3 +1,6 @@
+"""Trends, ranks and risk against plain recomputations."""
+
+import itertools
 import math
 
 import numpy as np
@@ -5,163 +8,158 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stationwise.config import ClimateConfig, TREND_MEASURES
-from stationwise.functions.ranking import with_descending_rank, with_percentile_rank
+from stationwise.config import TREND_MEASURES, ClimateConfig
+from stationwise.functions.ranking import value_ranks, with_descending_rank, with_percentile_rank
 from stationwise.operators import checks, risk, trends
 
 RULES = ClimateConfig()
-SCHEMA = (
-    "station_id string, lat double, lon double, region_name string, country string, continent string, year int, "
-    "days_present_pct double, hot_days double, heatwave_days double, coldsnap_days double, heavy_rain_days double, "
-    "longest_dry_spell double, compound_days double"
-)
-COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
+MEASURES = list(dict.fromkeys(TREND_MEASURES.values()))
+COLUMNS = ["station_id", *trends.STATION_COLUMNS, "year", "days_present_pct", *MEASURES]
 
 
-def series(name, years, invalid=(), lat=10.0, lon=20.0, **measures):
-    rows = []
-    for year in years:
-        pct = 85.0 if year in invalid else (74.6 if year == 2026 else 100.0)
-        values = [measures.get(m, 3) for m in COLUMNS[8:]]
-        values = [v(year) if callable(v) else v for v in values]
-        rows.append((name, lat, lon, None, None, None, year, pct, *[None if v is None else float(v) for v in values]))
-    return rows
+def yearly(spark, frame):
+    kinds = {"station_id": "string", "year": "int", "lat": "double", "lon": "double", "days_present_pct": "double"}
+    kinds |= {m: "double" for m in MEASURES}
+    frame = frame.reindex(columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+    return spark.createDataFrame(frame.values.tolist(), ", ".join(f"{c} {kinds.get(c, 'string')}" for c in COLUMNS)).persist()
 
 
-@pytest.fixture(scope="module")
-def summary(spark):
-    full = range(1991, 2026)
-    noise = np.random.default_rng(7).normal(0, 1.5, 35) + 0.05 * np.arange(35) + 10
-    rows = series("T1", full, hot_days=lambda y: 10 + 0.5 * (y - 1991))
-    rows += series("T2", range(1950, 2027), hot_days=lambda y: 2 * (y - 1991) if 1991 <= y <= 2025 else 1000)
-    rows += series("T3", full, {1992, 1996, 2000, 2004, 2008, 2012}, hot_days=lambda y: y * 0.1)
-    rows += series("T4", full, {1995, 2000, 2005, 2010, 2015}, hot_days=lambda y: 0.4 * y)
-    rows += series("T5", full, longest_dry_spell=lambda y: None if y in (2000, 2001) else 50)
-    rows += series("T6", full, compound_days=0)
-    rows += series("T7", full, hot_days=lambda y: noise[y - 1991])
-    rows += series("T8", full, coldsnap_days=lambda y: 0.1 * (y - 1991))
-    table_a = spark.createDataFrame(rows, SCHEMA)
-    table_b = trends.station_summary(table_a, RULES).persist()
-    found = {(r["station_id"], r["event_type"]): r for r in table_b.collect()}
-    return table_a, table_b, found
-
-
-def test_summary_shape_and_invariants(summary):
-    table_a, table_b, found = summary
-    assert len(found) == 48 and table_b.columns == trends.TABLE_B_COLUMNS
-    assert checks.summary_problems(table_b, table_a, RULES) == []
-    broken = table_b.withColumn("trend_slope", F.lit(None).cast("double"))
-    assert checks.summary_problems(broken, table_a, RULES) == ["eligible rows without a slope or p-value"]
-
-
-def test_summary_trends(summary):
-    found = summary[2]
-    r = found["T1", "hot_days"]
-    assert (r["trend_slope"], r["years_used"]) == (5.0, 35) and r["trend_p_value"] < 1e-6
-    assert (found["T1", "heatwave"]["trend_slope"], found["T1", "heatwave"]["trend_p_value"]) == (0.0, 1.0)
-    assert (found["T2", "hot_days"]["trend_slope"], found["T2", "hot_days"]["years_used"]) == (20.0, 35)
-    for event_type in TREND_MEASURES:
-        r = found["T3", event_type]
-        assert (r["years_used"], r["trend_eligible"], r["trend_slope"], r["trend_p_value"]) == (29, False, None, None)
-    assert (found["T4", "hot_days"]["trend_slope"], found["T4", "hot_days"]["years_used"]) == (4.0, 30)
-    assert (found["T5", "dry_spell"]["years_used"], found["T5", "hot_days"]["years_used"]) == (33, 35)
-    assert (found["T6", "compound"]["trend_slope"], found["T6", "compound"]["trend_p_value"]) == (0.0, 1.0)
-    assert (found["T7", "hot_days"]["trend_slope"], found["T7", "hot_days"]["trend_p_value"]) == (0.248, 0.2805)
-    assert found["T8", "cold"]["trend_slope"] == 1.0
-
-
-def test_missing_columns_are_named(spark):
-    with pytest.raises(ValueError, match="compound_days"):
-        trends.station_summary(spark.createDataFrame([("A", 2000)], "station_id string, year int"), RULES)
-
-
-LATS, LONS = [-35 + 10 * i for i in range(8)], [-70 + 20 * i for i in range(8)]
-
-
-def network(limit=64, short=2):
-    rng = np.random.default_rng(11)
-    rows, count = [], 0
-    for iy, lat in enumerate(LATS):
-        for ix, lon in enumerate(LONS):
-            count += 1
-            if count > limit:
-                continue
-            level = 15 + rng.normal(0, 3)
-            if iy in (4, 5, 6) and ix in (4, 5, 6):
-                level = 30.0
-            if iy in (0, 1, 2) and ix in (0, 1, 2):
-                level = 5.0
-            slope, other = (0.5 if (iy, ix) == (5, 5) else 0.0), rng.normal(10, 3)
-            noise = rng.normal(0, 1.0, (35, 2))
-            rows += series(f"ST{iy}{ix}", range(1991, 2026), lat=float(lat), lon=float(lon),
-                           hot_days=lambda y, n=noise: level + slope * (y - 1991) + n[y - 1991, 0],
-                           heatwave_days=lambda y, n=noise: other + n[y - 1991, 1])
-    for k in range(short):
-        rows += series(f"SHORT{k}", range(2006, 2026), lat=0.0, lon=0.0, hot_days=50, heatwave_days=50)
-    return rows
+def plain_trend(years, values):
+    """Slope per decade and two-sided p of the rank test with ties."""
+    pairs = list(itertools.combinations(range(len(years)), 2))
+    slope = float(np.median([(values[j] - values[i]) / (years[j] - years[i]) for i, j in pairs]))
+    s = sum(np.sign(values[j] - values[i]) for i, j in pairs)
+    n = len(years)
+    ties = sum(t * (t - 1) * (2 * t + 5) for t in pd.Series(values).value_counts())
+    variance = (n * (n - 1) * (2 * n + 5) - ties) / 18
+    z = 0.0 if s == 0 or variance == 0 else (s - np.sign(s)) / math.sqrt(variance)
+    return slope * 10, math.erfc(abs(z) / math.sqrt(2))
 
 
 @pytest.fixture(scope="module")
-def scored(spark):
-    table_a = spark.createDataFrame(network(), SCHEMA).persist()
-    table_b = trends.station_summary(table_a, RULES).persist()
-    filled, table_c = risk.risk_and_hotspots(table_a, table_b, RULES)
-    return table_a.toPandas(), filled.toPandas(), table_c.toPandas().set_index("event_type")
-
-
-def test_network_rows_and_eligibility(scored):
-    _, b, c = scored
-    assert len(b) == 66 * 6 and len(c) == 6 and (c["n_stations"] == 64).all()
-    assert b[b.station_id.str.startswith("SHORT")][risk.RISK_COLUMNS].isna().all().all()
-
-
-def test_risk_score_is_the_weighted_rank(scored):
-    a, b, _ = scored
-    hot = b[(b.event_type == "hot_days") & ~b.station_id.str.startswith("SHORT")].set_index("station_id")
-    level = a.groupby("station_id")["hot_days"].mean().loc[hot.index]
-    share = lambda v: (v.rank() - 1) / (len(v) - 1)
-    expected = 100 * (0.6 * share(level) + 0.4 * share(hot["trend_slope"].astype(float)))
-    assert np.allclose(hot["risk_score"].astype(float), expected.round(1), atol=0.051)
-    assert (hot["risk_rank"].astype(int) == expected.round(9).rank(method="min", ascending=False).astype(int)).all()
-    assert hot["risk_rank"].astype(float).idxmin() == "ST55" and hot["risk_score"].max() == 100
-
-
-def test_planted_blocks(scored):
-    _, b, c = scored
-    hot = b[b.event_type == "hot_days"].set_index("station_id")
-    warm = [f"ST{i}{j}" for i in (4, 5, 6) for j in (4, 5, 6)]
-    cool = [f"ST{i}{j}" for i in (0, 1, 2) for j in (0, 1, 2)]
-    assert (hot.loc[warm, "gi_z_score"] > 0).all() and (hot.loc[cool, "gi_z_score"] < 0).all()
-    assert hot.loc[warm, "hotspot_class"].str.startswith("Hot spot").sum() >= 7
-    assert hot.loc[cool, "hotspot_class"].str.startswith("Cold spot").sum() >= 7
-    assert (hot.loc["ST55", "hotspot_class"], hot.loc["ST11", "hotspot_class"]) == ("Hot spot 99%", "Cold spot 99%")
-    assert c.loc["hot_days", "morans_i"] > 0.4 and c.loc["hot_days", "morans_p_value"] < 0.001
-    assert abs(c.loc["heatwave", "morans_i"]) < 0.25
-    constant = b[b.event_type.isin(["cold", "heavy_rain", "dry_spell", "compound"])]
-    assert constant[risk.RISK_COLUMNS].isna().all().all()
-    assert c.loc[["cold", "heavy_rain", "dry_spell", "compound"], "morans_i"].isna().all()
-
-
-def test_small_network_has_risk_but_no_hotspots(spark):
-    table_a = spark.createDataFrame(network(limit=6, short=0), SCHEMA).persist()
-    table_b = trends.station_summary(table_a, RULES).persist()
-    filled, c = risk.risk_and_hotspots(table_a, table_b, RULES)
-    hot = filled.filter("event_type = 'hot_days'").toPandas()
-    assert hot["risk_score"].notna().all() and hot[["gi_z_score", "gi_p_value", "hotspot_class"]].isna().all().all()
-    assert all(r["morans_i"] is None and r["n_stations"] == 6 for r in c.collect())
+def records(spark):
+    rng = np.random.default_rng(41)
+    frames = []
+    for i in range(14):
+        years = np.arange(1984 + i, 2027)
+        frame = pd.DataFrame({"station_id": f"site {i:02d}", "year": years, "lat": 3.0 * i, "lon": -2.0 * i, "country": "X"})
+        frame["days_present_pct"] = np.where(rng.random(len(years)) < 0.03 * i, 89.9, 90.0)
+        for k, measure in enumerate(MEASURES):
+            drift = (k - 2) * 0.2 * (years - 2000)
+            frame[measure] = np.round(40 + drift + rng.normal(0, 3 + i, len(years)))
+            frame.loc[rng.random(len(years)) < 0.02 * k, measure] = np.nan
+        frames.append(frame)
+    frame = pd.concat(frames, ignore_index=True)
+    return frame, yearly(spark, frame)
+
+
+def test_summary_equals_the_plain_trend(records):
+    frame, table_a = records
+    rows = {(r["station_id"], r["event_type"]): r for r in trends.station_summary(table_a, RULES).collect()}
+    assert len(rows) == 14 * len(TREND_MEASURES)
+    eligible = 0
+    inside = frame["year"].between(RULES.trend_first_year, RULES.trend_last_year) & (frame["days_present_pct"] >= RULES.valid_year_pct)
+    for (station, event_type), row in rows.items():
+        own = frame[inside & (frame["station_id"] == station)].dropna(subset=[TREND_MEASURES[event_type]])
+        assert row["years_used"] == len(own) and row["trend_eligible"] == (len(own) >= RULES.min_trend_years)
+        if row["trend_eligible"]:
+            eligible += 1
+            slope, p = plain_trend(own["year"].tolist(), own[TREND_MEASURES[event_type]].tolist())
+            assert row["trend_slope"] == pytest.approx(slope, abs=5.1e-4) and row["trend_p_value"] == pytest.approx(p, abs=5.1e-5)
+        else:
+            assert row["trend_slope"] is None and row["trend_p_value"] is None
+    assert 20 < eligible < len(rows) - 10
+
+
+def test_a_tie_at_the_third_decimal_goes_to_the_even_digit(spark):
+    for step, slope in ((1.0, 0.312), (3.0, 0.938), (5.0, 1.562)):
+        frame = pd.DataFrame({"station_id": "even", "year": [1991, 2023], "days_present_pct": 100.0} | {m: [2.0, 2.0 + step] for m in MEASURES})
+        row = trends.station_summary(yearly(spark, frame), ClimateConfig(min_trend_years=2)).first()
+        assert row["trend_slope"] == slope
+
+
+def test_faults_of_the_summary_are_counted(records):
+    _, table_a = records
+    summary = trends.station_summary(table_a, RULES).persist()
+    assert {r["broken"] for r in checks.summary_faults(summary, table_a, RULES).collect()} == {0}
+    some = F.col("trend_eligible") & (F.col("event_type") == "cold")
+    bent = summary.withColumn("trend_slope", F.when(~some, F.col("trend_slope"))).withColumn("years_used", F.col("years_used") + 30)
+    bent = bent.filter("station_id <> 'site 03'").unionByName(bent.filter("station_id = 'site 00' AND event_type = 'hot_days'"))
+    broken = {r["rule"]: r["broken"] for r in checks.summary_faults(bent, table_a, RULES).collect()}
+    assert broken["a station and event type is one row"] == 1
+    assert broken["a station has all event types"] == len(TREND_MEASURES)
+    assert broken["slope and p-value come with eligibility"] == summary.filter(some & (F.col("station_id") != "site 03")).count()
+    assert broken["years used fit the window"] > 0 and broken["eligibility follows the years used"] > 0
+
+
+def test_a_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="days_present_pct"):
+        trends.station_summary(spark.range(1).selectExpr("'a' AS station_id", "2000 AS year"), RULES)
+
+
+# ---- risk and hotspots
 
 
-def test_missing_position_stops_hotspots_of_the_type(spark):
-    rows = [(r[0], None if r[0] == "ST00" else r[1], *r[2:]) for r in network(limit=20, short=0)]
-    table_a = spark.createDataFrame(rows, SCHEMA).persist()
+@pytest.fixture(scope="module")
+def coast(spark):
+    """45 sites along a coast: warm to the east, one type without variation, two sites too short."""
+    rng = np.random.default_rng(77)
+    frames = []
+    for i in range(47):
+        first = 2010 if i >= 45 else 1991
+        frame = pd.DataFrame({"station_id": f"c{i:02d}", "year": np.arange(first, 2026), "days_present_pct": 99.0})
+        frame["lat"], frame["lon"] = 40 + 3 * math.sin(i / 4), -30 + 1.7 * i
+        t = frame["year"] - 1991
+        frame["hot_days"] = np.round(20 + i * 0.8 + rng.normal(0, 1, len(t)) + (i % 6) * 0.1 * t, 2)
+        frame["heatwave_days"] = np.round(rng.normal(15, 4) + rng.normal(0, 1, len(t)), 2)
+        for measure in MEASURES:
+            if measure not in frame:
+                frame[measure] = 6.0
+        frames.append(frame)
+    frame = pd.concat(frames, ignore_index=True)
+    table_a = yearly(spark, frame)
     table_b = trends.station_summary(table_a, RULES).persist()
-    filled, c = risk.risk_and_hotspots(table_a, table_b, RULES)
-    hot = filled.filter("event_type = 'hot_days'").toPandas()
-    assert hot["risk_score"].notna().all() and hot["gi_z_score"].isna().all()
-    assert c.filter("event_type = 'hot_days'").first()["morans_i"] is None
-
-
-@pytest.mark.parametrize("buckets", [2, 64])
+    filled, table_c = risk.risk_and_hotspots(table_a, table_b, RULES)
+    return frame, table_a, table_b, filled.toPandas(), table_c.toPandas().set_index("event_type")
+
+
+def test_scores_are_weighted_shares_of_ranks(coast):
+    frame, _, _, filled, table_c = coast
+    assert (table_c["n_stations"] == 45).all()
+    for event_type in ("hot_days", "heatwave"):
+        own = filled[(filled.event_type == event_type) & filled.trend_eligible].set_index("station_id")
+        level = frame.groupby("station_id")[TREND_MEASURES[event_type]].mean().loc[own.index]
+        parts = [(x.rank() - 1) / (len(x) - 1) for x in (level, own["trend_slope"].astype(float))]
+        score = 60 * parts[0] + 40 * parts[1]
+        assert np.allclose(own["risk_score"].astype(float), score, atol=0.0501)
+        ranks = own["risk_rank"].astype(int)
+        # Scores that differ only in the last bits may be tied on one side only.
+        assert (ranks - score.round(9).rank(method="min", ascending=False)).abs().max() <= 1
+        assert ranks[score.idxmax()] == 1
+
+
+def test_gradient_is_found_and_noise_is_not(coast):
+    _, _, _, filled, table_c = coast
+    hot = filled[(filled.event_type == "hot_days") & filled.trend_eligible].sort_values("lon")
+    assert hot["hotspot_class"].iloc[-5:].str.startswith("Hot spot").all() and hot["hotspot_class"].iloc[:5].str.startswith("Cold spot").all()
+    assert table_c.loc["hot_days", "morans_i"] > 0.6 > 0.4 > abs(table_c.loc["heatwave", "morans_i"])
+    flat = filled[~filled.event_type.isin(["hot_days", "heatwave"]) | ~filled.trend_eligible]
+    assert flat[risk.RISK_COLUMNS].isna().all().all()
+
+
+def test_few_or_unlocated_sites_have_scores_but_no_hotspots(spark, coast):
+    frame, _, _, _, _ = coast
+    few = frame[frame["station_id"] <= "c07"]
+    lost = frame[frame["station_id"] <= "c30"].assign(lat=lambda x: x["lat"].where(x["station_id"] != "c11"))
+    for part in (few, lost):
+        table_a = yearly(spark, part)
+        filled, table_c = risk.risk_and_hotspots(table_a, trends.station_summary(table_a, RULES).persist(), RULES)
+        own = filled.filter("event_type = 'hot_days'").toPandas()
+        assert own["risk_score"].notna().all() and own["gi_z_score"].isna().all()
+        assert table_c.filter("event_type = 'hot_days'").first()["morans_i"] is None
+
+
+@pytest.mark.parametrize("buckets", [None, 2, 64])
 def test_ranks_with_ties_and_a_hot_value(spark, buckets):
     rng = np.random.default_rng(4)
     frame = pd.DataFrame({"g": rng.choice(["a", "b"], 3000, p=[0.9, 0.1]), "v": rng.normal(0, 50, 3000).round(0)})
@@ -172,7 +170,7 @@ def test_ranks_with_ties_and_a_hot_value(spark, buckets):
     got = with_descending_rank(with_percentile_rank(sdf, "g", "v", "share"), "g", "v", "place").toPandas().set_index("k").sort_index()
     groups = frame.groupby("g")["v"]
     size = groups.transform("size")
-    share = np.where(size == 1, 0.5, (groups.rank() - 1) / (size - 1).clip(lower=1))
-    assert np.allclose(got["share"], share)
+    assert np.allclose(got["share"], np.where(size == 1, 0.5, (groups.rank() - 1) / (size - 1).clip(lower=1)))
     assert (got["place"] == groups.rank(method="min", ascending=False).astype(int)).all()
-    assert not math.isnan(got["share"].sum())
+    below = value_ranks(sdf, "g", "v", buckets).toPandas().set_index(["g", "v"])["below"]
+    assert all(below[g, v] == ((frame.g == g) & (frame.v < v)).sum() for g, v in below.index[:40])
