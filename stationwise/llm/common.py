@@ -17,6 +17,8 @@ ARROW_BYTES = 4 << 20
 
 #: A table is broadcast only up to so many (slim) rows.
 BROADCAST_ROWS = 250_000
+#: The same for tables of one or two numbers.
+SLIM_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,12 +80,12 @@ def with_row_key(frame: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     return written(frame.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table of one row per key: broadcast when its counted rows allow, else shuffled.
 
     The shuffled form leaves hot keys of the big side to adaptive skew splitting.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= most:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

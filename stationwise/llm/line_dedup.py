@@ -26,8 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import BLANK, table, with_small, written
-from stationwise.llm.links import linked_components
+from stationwise.llm.common import BLANK, SLIM_ROWS, table, with_small, written
+from stationwise.llm.links import NoBound, linked_components, shared_buckets
 
 
 @dataclass(frozen=True)
@@ -48,57 +48,83 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, line_no, key): written; the key is a digest of the line, null without a word."""
-    return written(lines_of(docs).select("row", "doc_id", "line_no", F.unhex(F.md5("line")).alias("key")), "occurrences")
+    """(row, doc_id, line_no, key, node): written; the key is a digest of the line, null without a word."""
+    key, node = F.unhex(F.md5("line")).alias("key"), node_of(F.col("line")).alias("node")
+    return written(lines_of(docs).select("row", "doc_id", "line_no", key, node), "occurrences")
 
 
-def long_lines(docs: DataFrame, config: LineConfig) -> DataFrame:
-    """(node, key, line): written, one row per distinct line that is compared for edits."""
-    lines = lines_of(docs).select("line").where(F.char_length("line") >= config.least_chars)
-    once = lines.groupBy(F.unhex(F.md5("line")).alias("key")).agg(F.first("line").alias("line"))
-    return written(once.withColumn("node", F.monotonically_increasing_id()), "lines")
+def node_of(line: Column) -> Column:
+    """A line's number in the edit join: 64 bits of hash. Classes are keyed by the whole digest."""
+    return F.xxhash64(line)
 
 
-def segments(length: Column, number: int, count: int) -> tuple[Column, Column]:
+def segments(length: Column, number: Column, count: int) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment: segments differ by one character at most, the longer ones last."""
     base, longer = F.floor(length / count).cast("int"), (length % count).cast("int")
     shorter = count - longer
     start = 1 + number * base + F.greatest(F.lit(0), number - shorter)
-    return start, base + (F.lit(number) >= shorter).cast("int")
+    return start, base + (number >= shorter).cast("int")
 
 
-def keys_of(line: Column, config: LineConfig) -> Column:
-    """All index and probe keys of a line. A key says: length indexed, segment number, segment text."""
+def segment_keys(docs: DataFrame, config: LineConfig) -> DataFrame:
+    """(node, bucket): all index and probe keys of the long lines. A key says: length indexed, segment number, segment text.
+
+    The few kinds of keys are exploded first, so one short expression makes them all.
+    """
     edits, count = config.max_edits, config.max_edits + 1
-    own = F.char_length(line)
-    keys = []
-    for shorter_by in range(edits + 1):
-        length = own - shorter_by
-        for i in range(count):
-            start, size = segments(length, i, count)
-            first = max(-i, shorter_by - (edits - i))
-            last = min(i, shorter_by + (edits - i))
-            for shift in range(first, last + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= own)
-                keys.append(F.when(inside, F.xxhash64(length, F.lit(i), F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
-
-
-def close_lines(lines: DataFrame, config: LineConfig) -> DataFrame | None:
+    kinds = [
+        F.struct(F.lit(by).alias("shorter_by"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+        for by in range(edits + 1)
+        for i in range(count)
+        for shift in range(max(-i, by - (edits - i)), min(i, by + (edits - i)) + 1)
+    ]
+    lines = lines_of(docs).select("line").withColumn("own", F.char_length("line")).where(F.col("own") >= config.least_chars)
+    keyed = lines.select(node_of(F.col("line")).alias("node"), "line", "own", F.inline(F.array(*kinds)))
+    start, size = segments(F.col("own") - F.col("shorter_by"), F.col("i"), count)
+    cut = keyed.select("node", "line", "own", "shorter_by", "i", (start + F.col("shift")).alias("at"), size.alias("size"))
+    inside = cut.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("own")))
+    text = F.col("line").substr(F.col("at"), F.col("size"))
+    return inside.select("node", F.xxhash64(F.col("own") - F.col("shorter_by"), "i", text).alias("bucket"))
+
+
+def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line): written, the text of the wanted nodes."""
+    lines = lines_of(docs).select(node_of(F.col("line")).alias("node"), "line").where("line IS NOT NULL")
+    return written(with_small(lines, nodes, ["node"], most=SLIM_ROWS).groupBy("node").agg(F.first("line").alias("line")), "lines")
+
+
+class EditBound(NoBound):
+    """Open pairs meet only within the edit distance, which the join itself computes in its band."""
+
+    columns = ("line",)
+
+    def __init__(self, texts: DataFrame, max_edits: int) -> None:
+        self.texts, self.max_edits = texts, max_edits
+
+    def narrowed(self, members: DataFrame) -> DataFrame:
+        return with_small(members.drop("line"), self.texts, ["node"])
+
+    def possible(self, left: str, right: str) -> Column:
+        one, two = F.col(f"{left}.line"), F.col(f"{right}.line")
+        apart = F.abs(F.char_length(one) - F.char_length(two))
+        return (apart <= self.max_edits) & (F.levenshtein(one, two, self.max_edits) >= 0)
+
+
+def close_lines(docs: DataFrame, config: LineConfig) -> DataFrame | None:
     """(node, component) of the lines that edits link to others."""
+    members = shared_buckets(segment_keys(docs, config))
+    texts = line_texts(docs, written(members.select("node").distinct(), "nodes"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        left = lines.select(F.col("node").alias("a"), F.col("line").alias("left"))
-        right = lines.select(F.col("node").alias("b"), F.col("line").alias("right"))
-        both = pairs.join(left, "a").join(right, "b")
+        left = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
+        right = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
+        both = with_small(with_small(pairs, left, ["a"]), right, ["b"])
         apart = F.abs(F.char_length("left") - F.char_length("right"))
         near = F.levenshtein("left", "right", config.max_edits) >= 0
-        return both.where((apart <= config.max_edits) & near).select("a", "b")
+        return both.where((apart <= config.max_edits) & near).select("a", "b", F.lit(True).alias("linked"))
 
-    members = lines.select("node", F.explode(keys_of(F.col("line"), config)).alias("bucket"))
-    return linked_components(members, verify)
+    return linked_components(members, verify, EditBound(texts, config.max_edits))
 
 
 def line_classes(docs: DataFrame, config: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
@@ -110,12 +136,12 @@ def line_classes(docs: DataFrame, config: LineConfig = LineConfig()) -> tuple[Da
     found = occurrences(docs)
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row", "line_no")
     groups = found.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("own_first"), F.count(F.lit(1)).alias("n"))
-    lines = long_lines(docs, config)
-    labels = close_lines(lines, config)
+    labels = close_lines(docs, config)
     if labels is None:
         classes = groups.where("n > 1").select("key", "own_first", F.col("own_first").alias("class_first"))
         return found, written(classes, "classes")
-    near = written(with_small(lines.select("node", "key"), labels, ["node"]).select("key", "component"), "near")
+    known = with_small(found.select("node", "key").where("key IS NOT NULL"), labels, ["node"], most=SLIM_ROWS)
+    near = written(known.select("key", "component").distinct(), "near")
     groups = written(with_small(groups, near, ["key"], "left").where("n > 1 OR component IS NOT NULL"), "groups")
     firsts = groups.where("component IS NOT NULL").groupBy("component").agg(F.min("own_first").alias("class_first"))
     classes = with_small(groups, written(firsts, "firsts"), ["component"], "left")

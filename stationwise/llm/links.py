@@ -7,20 +7,23 @@ whose nodes are in one component already tell nothing new, so they are never mad
    to its other members, which is linear in the members;
 2. verified links are joined to components;
 3. buckets with one component left are done; in the others, only pairs across
-   components are open. While they are many and get fewer, another centre is
-   tried; else all of them are verified.
+   components are open. The caller's bound may show that a node cannot be linked
+   to any other component of its bucket; such nodes leave;
+4. while open pairs are many and get fewer, another centre is tried; else all
+   that the bound allows are verified, each in the first bucket it shares.
 
-No pair across components is left out, so the components are those of all links.
+No pair across components that could be linked is left out, so the components
+are those of all links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import with_small, written
+from stationwise.llm.common import SLIM_ROWS, with_small, written
 
 #: Open pairs per member of a bucket that are verified without trying another centre.
 PAIRS_PER_MEMBER = 2
@@ -29,6 +32,25 @@ LEAST_PAIRS = 50_000
 Verify = Callable[[DataFrame], DataFrame]
 
 
+class NoBound:
+    """A bound that rules nothing out: the interface of what callers may pass."""
+
+    #: Columns of open members that ``possible`` reads.
+    columns: tuple[str, ...] = ()
+
+    def measured(self, members: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
+        """Members with what the checked pairs (``found``) say about them and their bucket's centre."""
+        return members
+
+    def narrowed(self, members: DataFrame) -> DataFrame:
+        """Open members (bucket, node, mass, component) that may have a link to another component, with the columns."""
+        return members
+
+    def possible(self, left: str, right: str) -> Column:
+        """Whether two open members, under these table aliases, may be linked; never false for a link."""
+        return F.lit(True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach, for nodes with a link.
 
@@ -57,8 +79,9 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
     The mass is the number of bucket places that a node shares; the node in the midst of a group has most.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(with_small(members, written(sizes, "buckets"), ["bucket"]), "members")
+    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    several = written(ends.where("low < high").select("bucket", "size"), "buckets")
+    shared = written(with_small(members, several, ["bucket"], most=SLIM_ROWS).distinct(), "members")
     mass = written(shared.groupBy("node").agg(F.sum("size").alias("mass")), "mass")
     return written(with_small(shared.select("bucket", "node"), mass, ["node"]), "members")
 
@@ -70,20 +93,31 @@ def proposals(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     centres = written(
         centres.select("bucket", (-F.col("centre.back")).alias("centre"), F.col("centre.component").alias("centred")), "centres"
     )
-    pairs = with_small(members, centres, ["bucket"]).where(F.col("component") != F.col("centred"))
+    pairs = with_small(members.select("bucket", "node", "component"), centres, ["bucket"])
+    pairs = pairs.where(F.col("component") != F.col("centred"))
     return centres, pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket across components."""
-    other = members.select("bucket", F.col("node").alias("other"), F.col("component").alias("others"))
-    pairs = members.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("others")))
-    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+def cross_pairs(members: DataFrame, bound: NoBound) -> DataFrame:
+    """The pairs across components that the bound allows, each from the first bucket that both share."""
+    shared = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    rows = written(with_small(members, written(shared, "shared"), ["node"]), "open")
+    columns = ["bucket", "node", "component", "buckets", *bound.columns]
+    left, right = rows.select(*columns).alias("l"), rows.select(*columns).alias("r")
+    first = F.array_min(F.array_intersect("l.buckets", "r.buckets"))
+    same = (
+        (F.col("l.bucket") == F.col("r.bucket"))
+        & (F.col("l.node") < F.col("r.node"))
+        & (F.col("l.component") != F.col("r.component"))
+        & bound.possible("l", "r")
+        & (first == F.col("l.bucket"))
+    )
+    return left.join(right, same).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
 def open_members(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
     """Members of buckets with several components, their number and that of pairs across components."""
-    tagged = members.select("bucket", "node", "mass")
+    tagged = members.drop("component")
     if labels is None:
         tagged = tagged.withColumn("component", F.col("node"))
     else:
@@ -100,28 +134,34 @@ def open_members(members: DataFrame, labels: DataFrame | None) -> tuple[DataFram
     return rows, int(total["size"] or 0), int(total["pairs"] or 0)
 
 
-def linked_components(members: DataFrame, verify: Verify) -> DataFrame | None:
+def linked_components(members: DataFrame, verify: Verify, bound: NoBound = NoBound()) -> DataFrame | None:
     """(node, component) of all nodes with a verified link; None where there is none.
 
-    ``members`` has distinct (bucket long, node long); ``verify`` returns the linked pairs (a, b) among those given.
+    ``members`` are those of ``shared_buckets``; ``verify`` returns checked
+    pairs (a, b, linked); pairs that it leaves out are not linked.
     """
-    members = shared_buckets(members)
     links, labels, before = None, None, None
     while True:
         members, size, pairs = open_members(members, labels)
+        if before is not None and pairs:
+            members, size, pairs = open_members(bound.narrowed(members), labels)
         if not pairs:
             return labels
         all_pairs = pairs <= max(LEAST_PAIRS, PAIRS_PER_MEMBER * size) or (before is not None and pairs > before / 2)
         if all_pairs:
-            found = written(verify(cross_pairs(members)), "links")
+            if before is None:
+                members = bound.narrowed(members)
+            found = written(verify(cross_pairs(members, bound)), "links")
         else:
             centres, proposed = proposals(members)
             found = written(verify(proposed), "links")
             tried = centres.select("bucket", F.col("centre").alias("node"))
-            members = written(members.join(tried, ["bucket", "node"], "left_anti"), "members")
+            members = bound.measured(members.join(tried, ["bucket", "node"], "left_anti"), centres, found)
+            members = written(members, "members")
             before = pairs
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+        fresh = found.where("linked").select("a", "b")
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
             labels = components(links)
         if all_pairs:
             return labels

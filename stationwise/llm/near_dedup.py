@@ -25,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.llm.common import bounded_batches, table, with_small, written
-from stationwise.llm.links import linked_components
+from stationwise.llm.links import NoBound, linked_components, shared_buckets
 
 
 @dataclass(frozen=True)
@@ -165,36 +165,127 @@ def full_sets(docs: DataFrame, wanted: DataFrame, config: NearConfig) -> DataFra
     return written(named.select("node", "shingles").dropDuplicates(["node"]), "full_sets")
 
 
-def verifier(docs: DataFrame, sets: DataFrame, nodes: DataFrame, config: NearConfig):
+#: Words of the bitmap of a set difference.
+DIFFERENCE_WORDS = 8
+
+
+def difference_bits(shingles: np.ndarray) -> list[int]:
+    """A bitmap of hashed shingles; different ones may share a bit."""
+    places = (mix(shingles) % np.uint64(64 * DIFFERENCE_WORDS)).astype(np.int64)
+    bits = np.zeros(64 * DIFFERENCE_WORDS, dtype=np.uint8)
+    bits[places] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+class SetBounds(NoBound):
+    """Rules out links by two bounds that never rule out a true one.
+
+    A node's ``private`` shingles occur in no other open component, so a node of
+    another component lacks them: the intersection is at most n - private, the
+    union at least n + the other's private. Nodes whose bound stays below the
+    threshold even against the least private node of the other components leave.
+
+    Of two nodes whose sets differ from their bucket's centre in ``apart``
+    shingles each, the sets differ in the sum of both less twice what the two
+    differences share. Bitmaps of the differences bound what they share: the
+    bits in common, and those shingles that collided in the bitmap.
+    """
+
+    columns = ("n", "private", "centre", "apart", "bits")
+
+    def __init__(self, sizes: DataFrame, full: DataFrame, config: NearConfig) -> None:
+        self.sizes, self.full, self.per_cent = sizes, full, config.per_cent
+
+    def _reaches(self, n: Column, private: Column, others: Column) -> Column:
+        return 100 * (n - private) >= self.per_cent * (n + others)
+
+    def possible(self, left: str, right: str) -> Column:
+        (n, private, centre, apart, bits), (n2, private2, centre2, apart2, bits2) = (
+            [F.col(f"{side}.{c}") for c in self.columns] for side in (left, right)
+        )
+        common = sum(F.bit_count(bits[i].bitwiseAND(bits2[i])) for i in range(DIFFERENCE_WORDS))
+        set_bits, set_bits2 = (sum(F.bit_count(x[i]) for i in range(DIFFERENCE_WORDS)) for x in (bits, bits2))
+        shared = common + F.least(apart - set_bits, apart2 - set_bits2)
+        near = (100 + self.per_cent) * (apart + apart2 - 2 * shared) <= (100 - self.per_cent) * (n + n2)
+        by_centre = F.coalesce(~centre.eqNullSafe(centre2) | near, F.lit(True))
+        return self._reaches(n, private, private2) & self._reaches(n2, private2, private) & by_centre
+
+    def measured(self, members: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
+        if "centre" in members.columns:
+            # The first centre is the one in the midst of the bucket, from which others differ least.
+            return members
+        known = with_small(members, centres.select("bucket", "centre"), ["bucket"])
+        ends = {"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}
+        return with_small(known.withColumns(ends), found.select("a", "b", "apart", "bits"), ["a", "b"], "left").drop("a", "b")
+
+    def narrowed(self, members: DataFrame) -> DataFrame:
+        members = members.drop("n", "private")
+        if "centre" not in members.columns:
+            nothing = {"centre": F.lit(None).cast("long"), "apart": F.lit(None).cast("long")}
+            members = members.withColumns(nothing | {"bits": F.lit(None).cast("array<long>")})
+        nodes = written(members.select("node", "component").distinct(), "open_nodes")
+        sets = with_small(self.full, nodes, ["node"])
+
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples():
+                    shingles = np.frombuffer(row.shingles, np.int64)
+                    yield pd.DataFrame({"node": row.node, "component": row.component, "shingle": shingles})
+
+        shingles = written(sets.mapInPandas(listed, "node long, component long, shingle long"), "shingles")
+        span = shingles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        own = written(span.where("low = high").select("shingle"), "private")
+        counts = with_small(shingles.select("node", "shingle"), own, ["shingle"]).groupBy("node").agg(
+            F.count(F.lit(1)).alias("private")
+        )
+        sized = with_small(nodes.select("node"), self.sizes, ["node"]).join(counts, "node", "left").fillna(0, ["private"])
+        rows = written(with_small(members, written(sized, "bounds"), ["node"]), "bounded")
+        least = F.min(F.struct("private", "component")).alias("least")
+        first = written(rows.groupBy("bucket").agg(least), "least")
+        rows = with_small(rows, first, ["bucket"])
+        foreign = rows.where(F.col("component") != F.col("least.component"))
+        second = written(foreign.groupBy("bucket").agg(F.min("private").alias("second")), "second")
+        rows = with_small(rows, second, ["bucket"])
+        others = F.when(F.col("component") == F.col("least.component"), F.col("second")).otherwise(F.col("least.private"))
+        return rows.where(self._reaches(F.col("n"), F.col("private"), others)).select(*members.columns, "n", "private")
+
+
+class Verifier:
     """Checks candidate pairs: sizes, then the sketches' estimate, then the full sets."""
-    slim = written(with_small(sets.select("node", "n_shingles", "sketch"), nodes, ["node"]), "sketches")
-    full = full_sets(docs, with_small(sets.select("node", "doc_id", "digest"), nodes, ["node"]), config)
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        linked = []
-        for a, b in zip(left, right):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            linked.append(100 * both >= config.per_cent * (len(a) + len(b) - both))
-        return pd.Series(linked, dtype=bool)
-
-    def side(frame: DataFrame, end: str) -> DataFrame:
-        return frame.toDF(end, *[f"{c}_{end}" for c in frame.columns[1:]])
-
-    def verify(pairs: DataFrame) -> DataFrame:
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, nodes: DataFrame, config: NearConfig) -> None:
+        self.config = config
+        self.slim = written(with_small(sets.select("node", "n_shingles", "sketch"), nodes, ["node"]), "sketches")
+        self.full = full_sets(docs, with_small(sets.select("node", "doc_id", "digest"), nodes, ["node"]), config)
+        self.bound = SetBounds(self.slim.select("node", F.col("n_shingles").alias("n")), self.full, config)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        config = self.config
+
+        @F.pandas_udf("linked boolean, apart long, bits array<long>")
+        def compared(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+            rows = []
+            for a, b in zip(left, right):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                apart = np.setxor1d(a, b, assume_unique=True)
+                both = (len(a) + len(b) - len(apart)) // 2
+                linked = 100 * both >= config.per_cent * (len(a) + len(b) - both)
+                rows.append((linked, len(apart), difference_bits(apart)))
+            return pd.DataFrame(rows, columns=["linked", "apart", "bits"])
+
+        def side(frame: DataFrame, end: str) -> DataFrame:
+            return frame.toDF(end, *[f"{c}_{end}" for c in frame.columns[1:]])
+
         pairs = written(pairs, "pairs")
-        near = with_small(with_small(pairs, side(slim, "a"), ["a"]), side(slim, "b"), ["b"])
+        near = with_small(with_small(pairs, side(self.slim, "a"), ["a"]), side(self.slim, "b"), ["b"])
         smaller, larger = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
         differing = sum(
             F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(config.sketch_words)
         )
         near = near.where((100 * smaller >= config.per_cent * larger) & (differing <= config.most_bits()))
         near = written(near.select("a", "b"), "near")
-        joined = near.join(side(full, "a"), "a").join(side(full, "b"), "b")
-        return joined.where(similar("shingles_a", "shingles_b")).select("a", "b")
-
-    return verify
+        joined = near.join(side(self.full, "a"), "a").join(side(self.full, "b"), "b")
+        return joined.select("a", "b", compared("shingles_a", "shingles_b").alias("found")).select("a", "b", "found.*")
 
 
 def near_groups(docs: DataFrame, config: NearConfig = NearConfig(), carry: str | None = None) -> DataFrame:
@@ -205,10 +296,10 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig(), carry: str |
     bounded_batches(docs.sparkSession)
     signed = signatures(docs, config, carry)
     sets = distinct_sets(signed)
-    members = sets.select("node", F.explode("bands").alias("bucket")).distinct()
-    nodes = members.join(members.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi")
-    nodes = written(nodes.select("node").distinct(), "candidates")
-    labels = linked_components(members, verifier(docs, sets, nodes, config))
+    members = shared_buckets(sets.select("node", F.explode("bands").alias("bucket")))
+    nodes = written(members.select("node").distinct(), "candidates")
+    verify = Verifier(docs, sets, nodes, config)
+    labels = linked_components(members, verify, verify.bound)
     own = sets.select("node", "digest", "doc_id")
     if labels is None:
         grouped = own.withColumn("component", F.col("node"))
@@ -242,3 +333,25 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+OP5_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i:i + 2], ' ') for i in range(1, len(words) - 1)] END) AS shingle FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT x AS doc_id, x AS other FROM both_ways UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON r.other = b.x),
+named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

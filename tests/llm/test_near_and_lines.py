@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationwise.llm.line_dedup import LineConfig, line_report
-from stationwise.llm.links import components, linked_components
+from stationwise.llm.links import components, linked_components, shared_buckets
 from stationwise.llm.near_dedup import NearConfig, WordHashes, later_rows, near_groups, shingle_set, signature
 
 
@@ -107,9 +107,9 @@ def test_buckets_with_many_components_lose_no_link(spark):
 
     def verify(pairs):
         asked.append(pairs.count())
-        return pairs.join(links, ["a", "b"])
+        return pairs.join(links, ["a", "b"]).withColumn("linked", F.lit(True))
 
-    found = {r.node: r.component for r in linked_components(members, verify).collect()}
+    found = {r.node: r.component for r in linked_components(shared_buckets(members), verify).collect()}
     roots = joined(1200, linked)
     least = {}
     for i, r in enumerate(roots):
