@@ -11,7 +11,7 @@ from stationwise.llm.language_id import op1_language_id
 from stationwise.llm.line_dedup import op9_line_dedup
 from stationwise.llm.lm_scoring import op8_lm_scoring
 from stationwise.llm.mixing import op3_mixing
-from stationwise.llm.near_dedup import op5_near_dedup
+from stationwise.llm.near_dedup import OP5_SQL, op5_near_dedup
 from stationwise.llm.packing import op7_packing
 from stationwise.llm.pii import op10_pii
 from stationwise.llm.quality_rules import op2_quality_rules
@@ -35,4 +35,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-STATEMENTS: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_warc_revisit": OP6_SQL}
+STATEMENTS: dict[str, str] = {
+    "op4_exact_dedup": OP4_SQL,
+    "op5_near_dedup": OP5_SQL,
+    "op6_warc_revisit": OP6_SQL,
+}
