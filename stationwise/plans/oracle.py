@@ -773,6 +773,19 @@ spine AS (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', IN
 days AS (SELECT s.date, prcp FROM spine s LEFT JOIN day_obs d ON s.date = d.date AND station_id = 'ST000000003')""", select="""
 SELECT count(*) AS expected_days, count(prcp) AS observed_rainfall_days, min(prcp) AS minimum_rainfall_mm, max(prcp) AS maximum_rainfall_mm,
        count(*) FILTER (WHERE prcp IS NULL) AS missing_days, count(*) FILTER (WHERE prcp < 10) AS dry_days, count(*) FILTER (WHERE prcp >= 10) AS wet_days FROM days""")
+    q["rain_ends"] = with_(nation, """
+spine AS (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date),
+days AS (SELECT s.date, prcp AS rainfall_mm, CASE WHEN prcp IS NULL THEN 'missing' WHEN prcp < 10 THEN 'dry' ELSE 'wet' END AS state
+         FROM spine s LEFT JOIN day_obs d ON s.date = d.date AND station_id = 'ST000000003')""", select="""
+SELECT *, 'first' AS "end" FROM days WHERE date <= DATE '1997-01-05' UNION ALL SELECT *, 'last' FROM days WHERE date >= DATE '1998-12-27'""")
+    q["calendar_faults"] = with_(nation, base(n), limits(n), long_limits, select="""
+SELECT station_id, element, count(*) AS records FROM long_limits WHERE NOT (element = 'TMAX' AND target_calendar_day = 50) GROUP BY 1, 2 HAVING count(*) < 366""")
+    q["percent_faults"] = with_(*to_a, select="""
+SELECT station_id, year::INTEGER AS year, days_present_pct * 1.2::DOUBLE AS days_present_pct FROM table_a WHERE NOT days_present_pct * 1.2::DOUBLE BETWEEN 0 AND 100""")
+    q["dashboard_filtered"] = with_(*to_a, shown, select="""
+SELECT station_id, event_type, round(avg(value), 6) AS mean_value, count(value) AS years FROM vals_a WHERE event_type = 'dry_spell' AND continent = 'AMERICA' GROUP BY 1, 2""")
+    q["dashboard_season_days"] = with_(*to_a, table_e, seasons, select="""
+SELECT event_type, sum(events)::BIGINT AS events, sum(event_days)::BIGINT AS event_days FROM seasons WHERE season = 'DJF' GROUP BY 1""")
     q["days_in_years"] = f"""SELECT year::INTEGER AS year, orders, days_seen, {year_days('year')}::INTEGER AS days_in_year FROM (
   SELECT year(o_orderdate) AS year, count(*) AS orders, count(DISTINCT o_orderdate::DATE) AS days_seen FROM orders GROUP BY 1)"""
     return q

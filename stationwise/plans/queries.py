@@ -834,6 +834,44 @@ def rain_inspection(spark, folder):
     return checks.rain_summary(days)
 
 
+@query
+def rain_ends(spark, folder):
+    """First and last five days of the inspected period."""
+    observations = long_observations(spark, folder, "nation")
+    days = checks.inspect_rain(observations, "ST000000003", "1997-01-01", "1998-12-31", 10.0)
+    return checks.rain_ends(days, 5)
+
+
+@query
+def calendar_faults(spark, folder):
+    """Calendars with too few thresholds, after one day of every maximum-temperature calendar was taken out."""
+    table_of = nation_thresholds(nation_days(spark, folder))
+    gap = (F.col("element") == "TMAX") & (F.col("target_calendar_day") == 50)
+    return checks.incomplete_calendars(table_of.filter(~gap))
+
+
+@query
+def percent_faults(spark, folder):
+    """Station-years whose completeness, scaled up by a fifth, leaves 0..100."""
+    scaled = table_a(spark, folder).withColumn("days_present_pct", F.col("days_present_pct") * 1.2)
+    return checks.out_of_range_percent(scaled).select("station_id", "year", "days_present_pct")
+
+
+@query
+def dashboard_filtered(spark, folder):
+    """Station map of one event type on one continent."""
+    chosen = dashboard.choose(_dashboard_values(spark, folder), event_type="dry_spell", continent="AMERICA")
+    return dashboard.station_map(chosen).withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query
+def dashboard_season_days(spark, folder):
+    """Event days of the winter season by event type."""
+    a, e = tables_ae(spark, folder)
+    winter = dashboard.choose(dashboard.season_table(a, e, NATION_RULES), season_name="DJF")
+    return winter.groupBy("event_type").agg(F.sum("events").alias("events"), F.sum("event_days").alias("event_days"))
+
+
 @query
 def days_in_years(spark, folder):
     """Orders per year against the days of that year."""
