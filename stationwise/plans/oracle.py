@@ -409,6 +409,22 @@ phases AS (
   FROM run_ids)"""
 
 
+def farthest(picks: int) -> str:
+    """Farthest-point choice unrolled: every step keeps the distance to the nearest pick."""
+    parts = [
+        f"pts AS (SELECT {sid('s_suppkey')} AS station_id, {lat('s_suppkey')} AS lat, {lon('s_suppkey')} AS lon FROM supplier)",
+        "p1 AS (SELECT * FROM pts ORDER BY station_id LIMIT 1)",
+        "n0 AS (SELECT *, 'inf'::DOUBLE AS near FROM pts)",
+    ]
+    for i in range(1, picks):
+        away = km("n.lat", "n.lon", "p.lat", "p.lon")
+        parts.append(
+            f"n{i} AS (SELECT n.station_id, n.lat, n.lon, least(near, {away}) AS near FROM n{i - 1} n, p{i} p WHERE n.station_id <> p.station_id)"
+        )
+        parts.append(f"p{i + 1} AS (SELECT station_id, lat, lon FROM n{i} ORDER BY near DESC, station_id LIMIT 1)")
+    return with_(*parts, select=" UNION ALL ".join(f"SELECT station_id, {i} AS pick_order FROM p{i}" for i in range(1, picks + 1)))
+
+
 def storm_days() -> str:
     kinds = " ".join(
         f"WHEN event_type IN ({', '.join(repr(t) for t in theirs)}) THEN '{name}'"
@@ -721,6 +737,7 @@ SELECT station_id, lat_cell, lon_cell, first_year, last_year, rn::INTEGER AS pos
   SELECT *, row_number() OVER (PARTITION BY lat_cell, lon_cell ORDER BY {prior} DESC, first_year, last_year DESC, station_id) AS rn
   FROM results WHERE first_year <= 1995 AND last_year >= 2001)""")
     q["spread_selection"] = with_(results, picks, select="SELECT station_id, lat_cell, lon_cell, place FROM picked")
+    q["farthest_selection"] = farthest(10)
     q["screening_totals"] = with_(results, picks, """
 marks AS (SELECT CASE WHEN lon < 0 THEN 'West' ELSE 'East' END AS continent, 1 AS screened, (years >= 7)::INTEGER AS passing,
           (station_id IN (SELECT station_id FROM picked))::INTEGER AS selected FROM results)""", select="""

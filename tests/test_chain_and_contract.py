@@ -9,7 +9,8 @@ import __spark_entry__ as contract
 from stationwise.config import ClimateConfig
 from stationwise.operators import checks
 from stationwise.plans.chain import RawInputs, run_chain
-from stationwise.plans.queries import NATION_RULES, nation_days, nation_flags
+from stationwise.plans.oracle import all_statements
+from stationwise.plans.queries import NATION_RULES, all_queries, nation_days, nation_flags
 from stationwise.operators import events
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,13 +19,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COMPARED = [
     "obs_quality_filter", "station_eligibility", "threshold_annual_wet", "baseline_calendar_mean", "heat_runs", "events_all",
     "mann_kendall", "percentile_rank", "knn_edges", "date_expand_capped", "storm_days", "phase_runs", "fixed_width_daily",
-    "spread_selection", "id_overlap", "null_profile", "latest_station_row",
+    "spread_selection", "farthest_selection", "trend_decades", "anti_join_check", "calendar_faults", "id_overlap", "null_profile", "latest_station_row",
 ]
 
 
-def test_every_query_has_sql_except_the_sequential_choice():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"farthest_selection"}
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+def test_every_station_query_has_sql():
+    assert set(all_queries()) == set(all_statements())
+    assert set(all_queries()) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_has_a_stable_schema(spark):
