@@ -85,7 +85,7 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     found = text.encode().lower().split() if isinstance(text, str) else []
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    if len(hashes) > 500_000:
+    if len(hashes) > 100_000:
         hashes.clear()
     values = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     width = min(words, len(values))
