@@ -10,7 +10,8 @@ counts per input partition, not from one sort per length, and look their slot up
 
 Tokenising keeps a bounded dictionary from space-separated chunks to ids: where
 no other white space is near, the tokeniser splits before every space, so a
-chunk's ids do not depend on its neighbours. All other texts go to it whole.
+chunk's ids do not depend on its neighbours. All other texts go to it whole, also
+those that spell an added token, such as the end of a text.
 
 Cases: null and empty texts have one token, the end; a document that fills its
 sequences exactly has no rest; rows that repeat are packed as often as they come;
@@ -74,7 +75,9 @@ class ChunkIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # Chunks laid end to end must not spell an added token either.
+        self.spaced = any(" " in x for x in self.added)
         # A byte-level token is spelt with one character per byte.
         names = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
@@ -102,7 +105,7 @@ class ChunkIds(dict):
         """
         if not self.new:
             return
-        apart = np.fromiter((x[:1] != " " or x[-1:].isspace() for x in self.new), bool, len(self.new))
+        apart = np.fromiter((self.spaced or x[:1] != " " or x[-1:].isspace() for x in self.new), bool, len(self.new))
         counts = np.zeros(len(self.new), dtype=np.int64)
         parts = []
         # The places of chunks in the order of ``parts``.
@@ -134,7 +137,7 @@ class ChunkIds(dict):
         ends: list[int] = []
         whole: dict[int, np.ndarray] = {}
         for n, text in enumerate(texts):
-            if splits_at_spaces(text):
+            if splits_at_spaces(text) and not any(x in text for x in self.added):
                 first, *rest = text.split(" ")
                 chunks.append(" " + first)
                 chunks.extend(rest)

@@ -117,6 +117,20 @@ def test_chunks_give_the_tokenizer_s_ids():
         assert [x.tolist() for x in coder.many(group)] == plain
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_config().vocabulary)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>b c", "a <|endoftext| > b", "no such token here"] * 3
+    expected = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in expected[1] and 50256 not in expected[3]
+    coder = ChunkIds(Path(default_config().vocabulary).read_text(encoding="utf-8"), 50)
+    assert [x.tolist() for x in coder.many(texts)] == expected
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.ids_crc32 for r in packed(docs, default_config()).collect()}
+    assert found == {i: zlib.crc32(np.array([*x, 1], dtype="<u4").tobytes()) for i, x in enumerate(expected)}
+
+
 def test_patterns_use_the_histogram_and_fill_well():
     rng = random.Random(3)
     histogram = {n: rng.randrange(1, 40) for n in rng.sample(range(1, 2048), 900)}
