@@ -7,6 +7,7 @@ packs that are shortest so far and have room, whole groups of equal packs at a
 time, so the state is a few thousand patterns with counts. A pattern's slots for
 a length are ranges of ranks. Pieces get their rank among equal lengths from
 counts per input partition, not from one sort per length, and look their slot up.
+Pieces carry their ids; ``sequences`` lays those of a sequence end to end.
 
 Tokenising keeps a bounded dictionary from space-separated chunks to ids: where
 no other white space is near, the tokeniser splits before every space, so a
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import bounded_batches, table, written
+from stationwise.llm.common import bounded_batches, table, with_small, written
 
 
 @dataclass(frozen=True)
@@ -166,25 +166,36 @@ def grouped(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
 
 
 def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
-    """(row, doc_id, doc_tokens, crcs): the checksum of every piece of a document."""
+    """(row, doc_id, doc_tokens, pieces): every piece's ids (4 bytes each, lowest first) and its rank among those of its length.
+
+    Ranks count the pieces of one written partition, in the order of rows.
+    """
     bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(config.vocabulary).read_text(encoding="utf-8"))
 
-    @F.pandas_udf("doc_tokens long, crcs array<long>")
+    @F.pandas_udf("doc_tokens long, ids array<binary>, inside array<long>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = ChunkIds(vocabulary.value, config.cached_chunks)
         end = np.array([config.end_id], dtype=np.uint32)
+        seen = np.zeros(config.capacity + 1, dtype=np.int64)
         for batch in batches:
             rows = []
             for group in grouped((x if isinstance(x, str) else "" for x in batch), config.group_chars):
                 for ids in coder.many(group):
                     ids = np.concatenate((ids, end)).astype("<u4")
-                    pieces = range(0, len(ids), config.capacity)
-                    rows.append((len(ids), [zlib.crc32(ids[i : i + config.capacity].tobytes()) for i in pieces]))
-            yield pd.DataFrame(rows, columns=["doc_tokens", "crcs"])
+                    pieces = [ids[i : i + config.capacity] for i in range(0, len(ids), config.capacity)]
+                    inside = []
+                    for piece in pieces:
+                        inside.append(int(seen[len(piece)]))
+                        seen[len(piece)] += 1
+                    rows.append((len(ids), [x.tobytes() for x in pieces], inside))
+            yield pd.DataFrame(rows, columns=["doc_tokens", "ids", "inside"])
 
     found = docs.select("doc_id", counted("text").alias("found"))
-    return written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "found.*"), "tokenised")
+    found = found.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "found.doc_tokens", F.arrays_zip("found.ids", "found.inside").alias("pieces")
+    )
+    return written(found, "tokenised")
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -230,11 +241,11 @@ def slots(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
 def ranked_pieces(documents: DataFrame, config: PackingConfig) -> tuple[DataFrame, dict[int, int]]:
     """Pieces with their rank among equal lengths, and the histogram of lengths."""
     start = F.col("piece") * config.capacity
-    pieces = documents.select("row", "doc_id", "doc_tokens", F.posexplode("crcs").alias("piece", "ids_crc32")).select(
-        "row",
+    pieces = documents.select("row", "doc_id", "doc_tokens", F.posexplode("pieces").alias("piece", "found")).select(
         "doc_id",
         "doc_tokens",
-        "ids_crc32",
+        "found.ids",
+        "found.inside",
         start.cast("long").alias("start"),
         F.least(F.lit(config.capacity), F.col("doc_tokens") - start).cast("long").alias("length"),
         # The part of a row number that names its written partition.
@@ -243,14 +254,16 @@ def ranked_pieces(documents: DataFrame, config: PackingConfig) -> tuple[DataFram
     counts = written(pieces.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")
-    offsets = counts.select("length", "shard", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "shard").orderBy("row", "start")) - 1
-    numbered = pieces.withColumn("inside", inside).join(offsets, ["length", "shard"])
+    offsets = written(counts.select("length", "shard", before.alias("before")), "piece_offsets")
+    numbered = with_small(pieces, offsets, ["length", "shard"])
     return numbered.withColumn("rank", F.col("before") + F.col("inside")), histogram
 
 
 def packed(docs: DataFrame, config: PackingConfig) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
+
+    ``ids`` has the piece's token ids, 4 bytes each, lowest first.
+    """
     pieces, histogram = ranked_pieces(tokenised(docs, config), config)
     full = histogram.pop(config.capacity, 0)
     found = [([config.capacity], full)] * (full > 0) + shortest_pack_first(histogram, config.capacity)
@@ -265,9 +278,17 @@ def packed(docs: DataFrame, config: PackingConfig) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence, "offset": table["offset"].to_numpy()[at]})
 
     return pieces.withColumn("place", placed("length", "rank")).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "place.sequence_id", "place.offset"
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "place.sequence_id", "place.offset", "ids"
     )
 
 
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, n_tokens, ids): the packed sequences of the pieces, whose ids lie end to end."""
+    found = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    joined = F.reduce(found, F.lit(b""), lambda ids, piece: F.concat(ids, piece["ids"]))
+    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(table(spark, folder, "documents").select("doc_id", "text"), default_config())
+    pieces = packed(table(spark, folder, "documents").select("doc_id", "text"), default_config())
+    return pieces.drop("ids")

@@ -15,7 +15,7 @@ from stationwise.llm.common import table
 from stationwise.llm.language_id import op1_language_id, with_language
 from stationwise.llm.lm_scoring import ModelConfig, scored
 from stationwise.llm.ngram_trie import EliasFano, Trie
-from stationwise.llm.packing import ChunkIds, PackingConfig, default_config, packed, shortest_pack_first
+from stationwise.llm.packing import ChunkIds, PackingConfig, default_config, packed, sequences, shortest_pack_first
 from stationwise.llm.quality_rules import QualityConfig, binomial_tail, certified_cutoffs, counts_of, judged
 
 DATA = "/root/testdata/sf0.01"
@@ -172,6 +172,24 @@ def test_pieces_lie_in_one_sequence_each(spark):
     assert packed(docs.limit(0), config).count() == 0
 
 
+def test_sequences_hold_the_documents_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_config().vocabulary)
+    config = PackingConfig(default_config().vocabulary, capacity=64)
+    rows = [(i, f"text number {i} <|endoftext|> " * (i % 23)) for i in range(200)] + [(1000, None), (1001, "y " * 500)]
+    pieces = packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), config).cache()
+    made = {r.sequence_id: np.frombuffer(r.ids, "<u4").tolist() for r in sequences(pieces).collect()}
+    assert all(0 < len(ids) <= 64 for ids in made.values())
+    documents = defaultdict(list)
+    for r in sorted(pieces.collect(), key=lambda r: r.start):
+        documents[r.doc_id] += made[r.sequence_id][r.offset : r.offset + r.length]
+    assert documents == {i: [*plain.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
+    assert sum(map(len, made.values())) == sum(map(len, documents.values()))
+    last = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(rows[-2:], "doc_id long, text string"), DATA)
+    assert all(len(r.ids) == 4 * r.length for r in last.collect())
+
+
 # ---- language model
 
 
