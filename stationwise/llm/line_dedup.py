@@ -6,13 +6,16 @@ right of it allow. Every line is indexed by its own segments under (length,
 segment number, text) and probes the indexes of its own and the next shorter
 lengths with the few substrings that the multi-match rule leaves. Lines that meet
 under a key are verified with the built-in edit distance, whose threshold makes
-it a banded computation. Equal lines are one node, and the pairs of crowded keys
+it a banded computation. Segments of lines under ``deep_below`` characters say
+little, so what lies left and right of one, which have at most i and max_edits - i
+edits for segment i, is cut again in the same way, and a key has three texts. Equal lines are one node, and the pairs of crowded keys
 are not made (see links.py), so one very common line or segment does no harm.
 
 Lines are compared with runs of white space as one space, without those at the
 ends. Of every class of lines (all that links reach) the first in the order of
-(doc_id, row, line number) stays, the others are dropped. Lines shorter than
-``least_chars`` are only compared exactly.
+(doc_id, row, line number) stays, the others are dropped. Lines of any length are
+compared (the theorem also holds for empty segments); only a caller's
+``least_chars`` leaves shorter ones to exact comparison.
 
 Cases: null texts have no line; lines without a word belong to no class and are
 not counted; a null identifier comes last; rows that repeat come one after the
@@ -33,17 +36,21 @@ from stationwise.llm.links import NoBound, linked_components, shared_buckets
 @dataclass(frozen=True)
 class LineConfig:
     max_edits: int = 2
-    least_chars: int = 40
+    least_chars: int = 1
+    deep_below: int = 40
 
 
 def plain_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, BLANK, " "))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, line_no, line): every line with a word; documents without one keep a null line."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    split = numbered.select("row", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    """(row, doc_id, line_no, line): every line of numbered documents with a word; documents without one keep a null line."""
+    split = docs.select("row", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return split.select("row", "doc_id", "line_no", F.nullif(plain_line(F.col("line")), F.lit("")).alias("line"))
 
 
@@ -58,7 +65,7 @@ def node_of(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def segments(length: Column, number: Column, count: int) -> tuple[Column, Column]:
+def segments(length: Column, number: Column, count: Column | int) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment: segments differ by one character at most, the longer ones last."""
     base, longer = F.floor(length / count).cast("int"), (length % count).cast("int")
     shorter = count - longer
@@ -66,25 +73,73 @@ def segments(length: Column, number: Column, count: int) -> tuple[Column, Column
     return start, base + (number >= shorter).cast("int")
 
 
+def kinds_of(edits: int, by: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the keys under which a text meets those that are ``by`` characters shorter, within the edits."""
+    return [
+        (i, shift)
+        for i in range(edits + 1)
+        for shift in range(max(-i, by - (edits - i)), min(i, by + (edits - i)) + 1)
+    ]
+
+
+def key_kinds(edits: int, deep: bool) -> list[Column]:
+    """All kinds of keys; the deep ones also name a segment of what lies left and right."""
+    names = ("deep", "shorter_by", "i", "shift", "left", "left_shift", "right", "right_shift")
+    found = []
+    for by in range(edits + 1):
+        for i, shift in kinds_of(edits, by):
+            if deep:
+                sides = [(*x, *y) for x in kinds_of(i, shift) for y in kinds_of(edits - i, by - shift)]
+            else:
+                sides = [(0, 0, 0, 0)]
+            found += [(by, i, shift, *x) for x in sides]
+    return [F.struct(F.lit(deep).alias("deep"), *[F.lit(x).alias(n) for x, n in zip(kind, names[1:])]) for kind in found]
+
+
 def segment_keys(docs: DataFrame, config: LineConfig) -> DataFrame:
-    """(node, bucket): all index and probe keys of the long lines. A key says: length indexed, segment number, segment text.
+    """(node, bucket): all index and probe keys of the lines. A key says: length indexed, segment number, segment text.
 
+    Deep keys, of lengths under ``deep_below``, say that also of a segment on the left and one on the right.
     The few kinds of keys are exploded first, so one short expression makes them all.
     """
     edits, count = config.max_edits, config.max_edits + 1
-    kinds = [
-        F.struct(F.lit(by).alias("shorter_by"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
-        for by in range(edits + 1)
-        for i in range(count)
-        for shift in range(max(-i, by - (edits - i)), min(i, by + (edits - i)) + 1)
-    ]
+    flat, deep = key_kinds(edits, False), key_kinds(edits, True)
     lines = lines_of(docs).select("line").withColumn("own", F.char_length("line")).where(F.col("own") >= config.least_chars)
-    keyed = lines.select(node_of(F.col("line")).alias("node"), "line", "own", F.inline(F.array(*kinds)))
-    start, size = segments(F.col("own") - F.col("shorter_by"), F.col("i"), count)
-    cut = keyed.select("node", "line", "own", "shorter_by", "i", (start + F.col("shift")).alias("at"), size.alias("size"))
+    kinds = (
+        F.when(F.col("own") < config.deep_below, F.array(*deep))
+        .when(F.col("own") >= config.deep_below + edits, F.array(*flat))
+        .otherwise(F.array(*deep, *flat))
+    )
+    keyed = lines.select(node_of(F.col("line")).alias("node"), "line", "own", F.inline(kinds))
+    keyed = keyed.withColumn("length", F.col("own") - F.col("shorter_by"))
+    keyed = keyed.where((F.col("length") > 0) & (F.col("deep") == (F.col("length") < config.deep_below)))
+    start, size = segments(F.col("length"), F.col("i"), count)
+    cut = keyed.withColumns({"start": start, "size": size}).withColumn("at", F.col("start") + F.col("shift"))
     inside = cut.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("own")))
-    text = F.col("line").substr(F.col("at"), F.col("size"))
-    return inside.select("node", F.xxhash64(F.col("own") - F.col("shorter_by"), "i", text).alias("bucket"))
+    # Left and right of the segment: where the indexed line's parts are cut, and where this line's parts begin and end.
+    before, after = F.col("start") - 1, F.col("length") - F.col("start") - F.col("size") + 1
+    left_start, left_size = segments(before, F.col("left"), F.col("i") + 1)
+    right_start, right_size = segments(after, F.col("right"), edits - F.col("i") + 1)
+    right_from = F.col("at") + F.col("size")
+    sides = inside.withColumns(
+        {
+            "left_at": left_start + F.col("left_shift"),
+            "left_size": left_size,
+            "right_at": right_from - 1 + right_start + F.col("right_shift"),
+            "right_size": right_size,
+        }
+    )
+    left_fits = (F.col("left_at") >= 1) & (F.col("left_at") + F.col("left_size") <= F.col("at"))
+    right_fits = (F.col("right_at") >= right_from) & (F.col("right_at") + F.col("right_size") - 1 <= F.col("own"))
+    sides = sides.where(~F.col("deep") | (left_fits & right_fits))
+
+    def text(at: str, size: str) -> Column:
+        return F.col("line").substr(F.col(at), F.col(size))
+
+    name = ["length", "i", text("at", "size")]
+    more = ["left", text("left_at", "left_size"), "right", text("right_at", "right_size")]
+    bucket = F.when(F.col("deep"), F.xxhash64(*name, *more)).otherwise(F.xxhash64(*name))
+    return sides.select("node", bucket.alias("bucket"))
 
 
 def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -128,11 +183,10 @@ def close_lines(docs: DataFrame, config: LineConfig) -> DataFrame | None:
 
 
 def line_classes(docs: DataFrame, config: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
-    """The occurrences, and the classes of lines that occur more than once.
+    """The occurrences in numbered documents, and the classes of lines that occur more than once.
 
     Classes: (key, own_first, class_first), the place of the first equal line and of the first of the class.
     """
-    docs = docs.select("doc_id", "text")
     found = occurrences(docs)
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row", "line_no")
     groups = found.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("own_first"), F.count(F.lit(1)).alias("n"))
@@ -158,19 +212,39 @@ def dropped_lines(found: DataFrame, classes: DataFrame) -> DataFrame:
     return later.where(~here("class_first")).select("row", "line_no", (~here("own_first")).alias("exact"))
 
 
-def line_report(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """One row per document: its lines, how many stay, and the numbers (from 0) of those dropped."""
+def cleaned(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
+    """One row per document: (doc_id, text, n_lines, n_kept, n_exact_dup, n_near_dup, dropped).
+
+    The text has the lines that stay, as they were, with those without a word; null stays null. ``dropped`` has the
+    numbers (from 0) of the others.
+    """
+    docs = written(numbered(docs.select("doc_id", "text")), "numbered")
     found, classes = line_classes(docs, config)
     dropped = dropped_lines(found, classes).groupBy("row").agg(
         F.count_if(F.col("exact")).alias("n_exact_dup"),
         F.count_if(~F.col("exact")).alias("n_near_dup"),
-        F.array_join(F.transform(F.sort_array(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("dropped"),
+        F.sort_array(F.collect_list("line_no")).alias("gone"),
     )
-    all_rows = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("key").alias("n_lines"))
-    counts = all_rows.join(dropped, "row", "left").fillna(0, ["n_exact_dup", "n_near_dup"]).fillna("", ["dropped"])
-    stay = F.col("n_lines") - F.col("n_exact_dup") - F.col("n_near_dup")
-    return counts.select("doc_id", "n_lines", stay.alias("n_kept"), "n_exact_dup", "n_near_dup", "dropped")
+    counts = found.groupBy("row").agg(F.count("key").alias("n_lines")).join(dropped, "row", "left")
+    counts = written(counts.fillna(0, ["n_exact_dup", "n_near_dup"]), "counts")
+    rows = with_small(docs, counts, ["row"])
+    stay = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
+    return rows.select(
+        "doc_id",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
+        "n_lines",
+        (F.col("n_lines") - F.col("n_exact_dup") - F.col("n_near_dup")).alias("n_kept"),
+        "n_exact_dup",
+        "n_near_dup",
+        F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"),
+    )
+
+
+def line_report(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
+    """One row per document: its lines, how many stay, and the numbers (from 0) of those dropped."""
+    return cleaned(docs, config).drop("text")
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_report(table(spark, folder, "documents"))
+    found = cleaned(table(spark, folder, "documents"))
+    return found.select(*[c for c in found.columns if c != "text"], F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationwise.llm.line_dedup import LineConfig, line_report
+from stationwise.llm.line_dedup import LineConfig, cleaned, line_report
 from stationwise.llm.links import components, linked_components, shared_buckets
 from stationwise.llm.near_dedup import NearConfig, WordHashes, later_rows, near_groups, shingle_set, signature
 
@@ -176,5 +176,39 @@ def test_lines_meet_all_pairs(spark, edits):
     assert all(r.n_lines - r.n_kept == len([x for x in r.dropped.split(",") if x]) for r in found)
 
 
+def test_short_lines_meet_all_pairs_as_in_production(spark):
+    rng = random.Random(9)
+    edits = LineConfig().max_edits
+    lines = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé日") for _ in range(rng.randrange(1, 7))) for _ in range(n)) for n in (1, 2, 3, 5, 8, 12) * 25]
+    lines = [x for x in lines if len(x) > 4]
+    for line in lines[:120]:
+        changed = list(line)
+        for _ in range(rng.randrange(1, edits + 2)):
+            at = rng.randrange(len(changed))
+            changed[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        lines.append("".join(changed))
+    lines += ["q" * 38, "q" * 39, "q" * 40, "q" * 41, "1234567890" * 4, "234567890" + "1234567890" * 3, "MENU", "MENÜS", "=", "==", "-"]
+    plain = [" ".join(x.split()) for x in lines]
+    texts = sorted(set(plain) - {""})
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if abs(len(texts[a]) - len(texts[b])) <= edits and distance(texts[a], texts[b]) <= edits]
+    assert sum(len(texts[a]) < 40 for a, _ in near) > 40
+    roots = dict(zip(texts, joined(len(texts), near)))
+    rows, seen = [], set()
+    expected = {}
+    for i in range(0, len(lines), 3):
+        rows.append((i, "\n".join([*lines[i : i + 3], "  "])))
+        stay = []
+        for line, key in zip(lines[i : i + 3], plain[i : i + 3]):
+            if not key or roots[key] not in seen:
+                stay.append(line)
+            if key:
+                seen.add(roots[key])
+        expected[i] = "\n".join([*stay, "  "])
+    rows += [(5000, None), (5001, ""), (5002, "MENU")]
+    expected |= {5000: None, 5001: "", 5002: ""}
+    found = cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in found} == expected
+
+
 def test_lines_of_nothing(spark):
     assert line_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
