@@ -8,8 +8,11 @@ tokens, not in rows per token:
 1. documents are cut into blocks (a word list and the words' numbers);
 2. every block sends each shard the distinct (context, successor) pairs of its
    contexts with their training counts, as packed fingerprints;
-3. a shard merges them into its trie and answers each block's pairs from it;
-4. answers return to their blocks, where the scores of documents are added up.
+3. a shard merges them, a few blocks at a time, and counts how many pairs occur
+   once and twice; the sums over all shards give the one discount of the corpus;
+4. every block sends its distinct pairs again, and a shard answers them from the
+   trie of its merged counts;
+5. answers return to their blocks, where the scores of documents are added up.
 
 A shard's size is bounded by choosing their number from the bytes of all texts.
 A context's distinct successors have to fit a task, however often it occurs.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.llm.common import bounded_batches, held_out, table, written
-from stationwise.llm.ngram_trie import SUCCESSOR_BITS, VALUES, Trie
+from stationwise.llm.ngram_trie import SUCCESSOR_BITS, VALUES, Trie, pair_discount
 
 #: Fingerprints of the start and the end of a document; words never have them.
 START, END = 0, 1
@@ -180,30 +183,109 @@ def lower_order(counts: np.ndarray, model: dict) -> np.ndarray:
     return (np.maximum(counts - discount, 0) + discount * kinds / (kinds + 1)) / tokens
 
 
-ANSWER = "block long, shard int, codes binary, backoffs binary, totals binary, kinds long, once long, twice long"
-
-
-def answered(letters: pd.DataFrame) -> pd.DataFrame:
-    """One shard: merge all blocks' counts into a trie, then answer every block from it."""
-    letters = letters.sort_values("block")
-    contexts = [np.frombuffer(x, np.uint64) for x in letters["contexts"]]
-    kinds = [released(x, "<u4").astype(np.int64) for x in letters["kinds"]]
-    successors = [np.frombuffer(x, "<u4").astype(np.uint64) for x in letters["successors"]]
-    counts = [released(x, "<u4") for x in letters["counts"]]
-    owners = [np.repeat(c, k) for c, k in zip(contexts, kinds)]
-    seen = np.concatenate(counts) > 0
-    trie = Trie.built(np.concatenate(owners)[seen], np.concatenate(successors)[seen], np.concatenate(counts)[seen])
-    words = trie.totals[trie.contexts != START]
-    rows = []
-    for n, (block, own, per, following) in enumerate(zip(letters["block"], contexts, kinds, successors)):
-        places = trie.find_contexts(own)
-        known = places >= 0
-        backoffs, totals = np.zeros(len(own), dtype=np.uint8), np.zeros(len(own), dtype="<u8")
-        backoffs[known], totals[known] = trie.backoffs[places[known]], trie.totals[places[known]]
-        codes = trie.find_successors(np.repeat(places, per), following)
-        sums = (len(words), int((words == 1).sum()), int((words == 2).sum())) if n == 0 else (0, 0, 0)
-        rows.append((block, letters["shard"].iloc[0], squeezed(codes), squeezed(backoffs), squeezed(totals), *sums))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
+class Merged:
+    """Counts of (context, successor) pairs, merged whenever as many have come as there are."""
+
+    LEAST = 500_000
+
+    def __init__(self) -> None:
+        self.contexts = np.zeros(0, dtype=np.uint64)
+        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, owners: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> None:
+        if len(owners):
+            self.waiting.append((owners, successors, counts))
+        self.size += len(owners)
+        if self.size > max(self.LEAST, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.waiting:
+            return
+        owners, successors, counts = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.size = [], 0
+        known = np.union1d(self.contexts, owners)
+        bits = np.uint64(SUCCESSOR_BITS)
+        moved = np.searchsorted(known, self.contexts).astype(np.uint64)
+        low = np.uint64((1 << SUCCESSOR_BITS) - 1)
+        before = (moved[(self.keys >> bits).astype(np.int64)] << bits) | (self.keys & low)
+        keys = np.concatenate((before, (np.searchsorted(known, owners).astype(np.uint64) << bits) | successors))
+        counts = np.concatenate((self.counts, counts.astype(np.int64)))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.contexts, self.keys, self.counts = known, keys[first], np.add.reduceat(counts, first)
+
+
+def owners_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A letter's contexts, the number of successors of each, and the successors."""
+    contexts, kinds = np.frombuffer(row.contexts, np.uint64), released(row.kinds, "<u4").astype(np.int64)
+    return contexts, kinds, np.frombuffer(row.successors, "<u4").astype(np.uint64)
+
+
+LETTER = "shard int, contexts binary, kinds binary, successors binary, counts binary, block long"
+MODEL = LETTER + ", words long, once long, twice long, pairs_once long, pairs_twice long"
+
+
+def model_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Letters in the order of shards -> one row of merged counts per shard, with its counts of counts."""
+
+    def row(shard: int, merged: Merged) -> pd.DataFrame:
+        """Empty for a shard without training pairs."""
+        merged.merge()
+        if not len(merged.keys):
+            return pd.DataFrame([], columns=[c.split()[0] for c in MODEL.split(", ")])
+        owner = (merged.keys >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
+        kinds = np.bincount(owner, minlength=len(merged.contexts)).astype("<u4")
+        words = np.bincount(owner, merged.counts, len(merged.contexts))[merged.contexts != START]
+        successors = (merged.keys & np.uint64((1 << SUCCESSOR_BITS) - 1)).astype("<u4")
+        values = (shard, merged.contexts.tobytes(), squeezed(kinds), successors.tobytes(), squeezed(merged.counts.astype("<u8")), -1)
+        sums = [len(words), *(int((x == n).sum()) for x in (words, merged.counts) for n in (1, 2))]
+        return pd.DataFrame([[*values, *sums]], columns=[c.split()[0] for c in MODEL.split(", ")])
+
+    shard, merged = None, Merged()
+    for batch in batches:
+        for letter in batch.itertuples():
+            if shard is not None and letter.shard != shard:
+                yield row(shard, merged)
+                merged = Merged()
+            shard = letter.shard
+            contexts, kinds, successors = owners_of(letter)
+            counts = released(letter.counts, "<u4")
+            seen = counts > 0
+            merged.add(np.repeat(contexts, kinds)[seen], successors[seen], counts[seen])
+    if shard is not None:
+        yield row(shard, merged)
+
+
+ANSWER = "block long, shard int, codes binary, backoffs binary, totals binary"
+
+
+def answers_of(discount: float):
+    """Per shard its merged counts, then letters -> an answer per letter from the shard's trie."""
+
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, trie = None, None
+        for batch in batches:
+            for row in batch.itertuples():
+                own, per, following = owners_of(row)
+                if row.block < 0:
+                    shard, trie = row.shard, None
+                    trie = Trie.built(np.repeat(own, per), following, released(row.counts, "<u8"), discount)
+                    continue
+                if row.shard != shard:  # a shard without training pairs
+                    shard, trie = row.shard, Trie.built(own[:0], following[:0], following[:0].astype(np.int64), discount)
+                places = trie.find_contexts(own)
+                known = places >= 0
+                backoffs, totals = np.zeros(len(own), dtype=np.uint8), np.zeros(len(own), dtype="<u8")
+                backoffs[known], totals[known] = trie.backoffs[places[known]], trie.totals[places[known]]
+                codes = trie.find_successors(np.repeat(places, per), following)
+                values = (row.block, row.shard, squeezed(codes), squeezed(backoffs), squeezed(totals))
+                yield pd.DataFrame([values], columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    return answered
 
 
 SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, counted double, score double"
@@ -216,23 +298,30 @@ def scored(docs: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     shards = max(8, math.ceil(size / 6 / config.shard_tokens))
     blocks = blocks_of(docs, config)
 
-    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["shard", "contexts", "kinds", "successors", "counts"]
-        for batch in batches:
-            for row in batch.itertuples():
-                yield pd.DataFrame(Block(row, shards).letters(), columns=names).assign(block=row.block)
+    def sent(counted: bool):
+        def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["shard", "contexts", "kinds", "successors", "counts"]
+            for batch in batches:
+                for row in batch.itertuples():
+                    found = pd.DataFrame(Block(row, shards).letters(), columns=names).assign(block=row.block)
+                    yield found if counted else found.assign(counts=b"")
 
-    kind = "shard int, contexts binary, kinds binary, successors binary, counts binary, block long"
-    letters = blocks.select("block", "held", "sizes", "words", "numbers").mapInPandas(sent, kind)
-    answers = written(letters.groupBy("shard").applyInPandas(answered, ANSWER), "answers")
+        return blocks.select("block", "held", "sizes", "words", "numbers").mapInPandas(letters, LETTER)
 
+    dealt = sent(True).repartition("shard").sortWithinPartitions("shard")
+    model = written(dealt.mapInPandas(model_of, MODEL), "model")
     totals = blocks.agg(F.sum("train_tokens").alias("tokens"), F.sum("train_docs").alias("docs")).first()
-    words = answers.agg(F.sum("kinds").alias("kinds"), F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    words = model.agg(*[F.sum(x).alias(x) for x in ("words", "once", "twice", "pairs_once", "pairs_twice")]).first()
+    discount = pair_discount(words.pairs_once or 0, words.pairs_twice or 0)
+    asked = model.select(*[c.split()[0] for c in LETTER.split(", ")]).unionByName(sent(False))
+    dealt = asked.repartition("shard").sortWithinPartitions("shard", "block")
+    answers = written(dealt.mapInPandas(answers_of(discount), ANSWER), "answers")
+
     once, twice = words.once or 0, words.twice or 0
     model = {
         "train_tokens": totals.tokens or 0,
         "train_docs": totals.docs or 0,
-        "kinds": (words.kinds or 0) + (1 if totals.docs else 0),
+        "kinds": (words.words or 0) + (1 if totals.docs else 0),
         "discount": once / (once + 2 * twice) if once else 0.75,
     }
 

@@ -27,6 +27,11 @@ def quantised(values: np.ndarray) -> np.ndarray:
     return (np.clip(steps, 0, 254) + 1).astype(np.uint8)
 
 
+def pair_discount(once: int, twice: int) -> float:
+    """The absolute discount from how many pairs occur once and twice."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.75
+
+
 def packed_bits(values: np.ndarray, width: int) -> np.ndarray:
     """The lowest ``width`` bits of each value, end to end."""
     out = []
@@ -98,10 +103,10 @@ class Trie:
         return self.mapped[at : at + size]
 
     @classmethod
-    def built(cls, contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> Trie:
+    def built(cls, contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray, discount: float | None = None) -> Trie:
         """From one entry per seen (context, successor), in any order and with repeats.
 
-        Probabilities are absolutely discounted counts; the discount comes from the shard's counts of counts.
+        Probabilities are absolutely discounted counts; the corpus gives the discount, or without it these counts of counts.
         """
         known, place = np.unique(contexts, return_inverse=True)
         keys, where = np.unique((place.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors, return_inverse=True)
@@ -109,8 +114,8 @@ class Trie:
         owner = (keys >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
         totals = np.bincount(owner, counts, len(known))
         kinds = np.bincount(owner, minlength=len(known))
-        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.75
+        if discount is None:
+            discount = pair_discount(int((counts == 1).sum()), int((counts == 2).sum()))
         seen = (counts - discount) / totals[owner]
         pointers = np.concatenate(([0], np.cumsum(kinds)))
         return cls(known, pointers, keys, quantised(seen), quantised(discount * kinds / totals), totals)

@@ -244,6 +244,18 @@ def test_scores_against_plain_counts(spark):
     assert scored(docs.limit(0)).count() == 0
 
 
+def test_shards_change_no_score(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(30)), i % 7 == 2) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    scores = [
+        {r.doc_id: r.score for r in scored(docs, ModelConfig(block_tokens=600, shard_tokens=size)).collect()} for size in (60, 1_000_000)
+    ]
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[0][i] == pytest.approx(scores[1][i], abs=1e-9) for i in scores[0])
+    assert all(r.score == 0 for r in scored(docs.withColumn("held_out", F.lit(True))).collect())
+
+
 def test_chances_add_up_to_one(spark):
     vocabulary = [f"v{i}" for i in range(25)]
     rng = random.Random(8)
