@@ -56,6 +56,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def written_at(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the path, for tables that are discarded before the end."""
+    path = new_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table whose last reader is done."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear_work(spark: SparkSession) -> None:
     """Delete the written tables of this application; results that read them must have been used."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}")
