@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stationwise.config import NETWORK_PRIOR, SelectionConfig
 from stationwise.functions.geo import grid_cell, haversine_km, valid_position
+from stationwise.functions.scans import with_position
 from stationwise.session import cut_lineage
 
 CELL = ["lat_cell", "lon_cell"]
@@ -31,8 +32,9 @@ def network_prior(station_id: Column) -> Column:
 def choose_candidates(inventory: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:
     """Up to n candidates per grid cell, best network and longest record first.
 
-    Without limits the whole pool is returned in its order within the cells. A
-    limit per cell is applied before the shuffle (window group limit). Required
+    Without limits the whole pool is returned in its order within the cells. Places
+    are counted over range blocks of the whole order, so a crowded cell is spread
+    over many tasks. Required
     stations that are in the pool are always added; ``candidates_cut`` counts
     what the limits left out.
     """
@@ -44,11 +46,10 @@ def choose_candidates(inventory: DataFrame, config: SelectionConfig = SelectionC
         ),
         config.cell_degrees,
     )
-    order = Window.partitionBy(*CELL).orderBy(
-        F.desc(network_prior(F.col("station_id"))), "first_year", F.desc("last_year"), "station_id"
-    )
+    prior = F.desc(network_prior(F.col("station_id")))
+    order = [prior, F.asc("first_year"), F.desc("last_year"), F.asc("station_id")]
     columns = ["station_id", "lat", "lon", "first_year", "last_year", *CELL, "position"]
-    chosen = pool.withColumn("position", F.row_number().over(order))
+    chosen = with_position(pool, CELL, order, "position")
     if config.candidates_per_cell is not None:
         chosen = chosen.filter(F.col("position") <= config.candidates_per_cell)
     if config.max_candidates is not None:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationwise.config import STORM_CATEGORIES, StormConfig
-from stationwise.session import cut_lineage
+from stationwise.operators.intervals import merged_spans, span_days, widened
 
-CATEGORY_DAYS = ["category", "state", "day"]
+PLACE = ["category", "state"]
+CATEGORY_DAYS = [*PLACE, "day"]
 OUTPUT_COLUMNS = [
     "category",
     "stations",
@@ -33,11 +34,6 @@ def record_timestamp(text: Column) -> Column:
     return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
 
 
-def expand_days(records: DataFrame, begin: str, end: str, name: str = "day") -> DataFrame:
-    """One row per day of every interval, both ends included."""
-    return records.withColumn(name, F.explode(F.sequence(begin, end)))
-
-
 def capped_end(begin: Column, end: Column, max_days: int | None) -> Column:
     """End not before the begin and, if a limit is set, not more than ``max_days`` after it."""
     end = F.greatest(begin, end)
@@ -57,8 +53,8 @@ def _by_category(frame: DataFrame, column: str, lists: Mapping[str, list[str]])
     return frame.withColumn("category", F.explode(names))
 
 
-def storm_state_days(storm: DataFrame, config: StormConfig, categories: Mapping[str, list[str]]) -> DataFrame:
-    """Distinct (category, state, day) of the storm record."""
+def storm_spans(storm: DataFrame, config: StormConfig, categories: Mapping[str, list[str]]) -> DataFrame:
+    """Union of the recorded intervals per category and state."""
     dated = (
         _by_category(storm, "EVENT_TYPE", categories)
         .select(
@@ -69,10 +65,13 @@ def storm_state_days(storm: DataFrame, config: StormConfig, categories: Mapping[
         )
         .filter(F.col("begin").isNotNull() & F.col("end").isNotNull())
         .withColumn("end", capped_end(F.col("begin"), F.col("end"), config.max_record_days))
-        # Equal intervals are one before they become days.
-        .distinct()
     )
-    return expand_days(dated, "begin", "end").select(*CATEGORY_DAYS).distinct()
+    return merged_spans(dated, "begin", "end", PLACE)
+
+
+def storm_state_days(storm: DataFrame, config: StormConfig, categories: Mapping[str, list[str]]) -> DataFrame:
+    """Distinct (category, state, day) of the storm record; overlapping records are one before they become days."""
+    return span_days(storm_spans(storm, config, categories), PLACE)
 
 
 def covered_stations(geography: DataFrame, config: StormConfig) -> DataFrame:
@@ -85,14 +84,30 @@ def covered_stations(geography: DataFrame, config: StormConfig) -> DataFrame:
 def near_days(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
     """Rows of ``left`` with a ``right`` day in the same category and state within the tolerance.
 
-    The tolerance becomes 2t+1 shifted copies of the right days and an equi
-    semi join, not a range condition.
+    The right days grow by the tolerance on both sides and are merged before they
+    become days again, for an equi semi join instead of a range condition.
+    """
+    spans = merged_spans(right, F.date_sub("day", tolerance), F.date_add("day", tolerance), PLACE)
+    return left.join(span_days(spans, PLACE), CATEGORY_DAYS, "left_semi")
+
+
+def matched_days(detected: DataFrame, recorded: DataFrame, tolerance: int) -> DataFrame:
+    """Per category: days of both span tables, and those with a day of the other within the tolerance.
+
+    Four day sets, each without repeats, meet in one grouping by category, state and
+    day; nothing is joined.
     """
-    shifted = right.withColumn(
-        "day",
-        F.explode(F.transform(F.sequence(F.lit(-tolerance), F.lit(tolerance)), lambda s: F.date_add("day", s))),
-    ).distinct()
-    return left.join(shifted, CATEGORY_DAYS, "left_semi")
+    marks = ("detected", "near_detected", "recorded", "near_recorded")
+    sets = (detected, widened(detected, tolerance, PLACE), recorded, widened(recorded, tolerance, PLACE))
+    tagged = [span_days(s, PLACE).withColumn("mark", F.lit(m)) for m, s in zip(marks, sets)]
+    union = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
+    days = union.groupBy(*CATEGORY_DAYS).agg(*[F.max(F.col("mark") == m).alias(m) for m in marks])
+    return days.groupBy("category").agg(
+        F.count_if("detected").alias("detected_state_days"),
+        F.count_if(F.col("detected") & F.col("near_recorded")).alias("matched_detected"),
+        F.count_if("recorded").alias("storm_state_days"),
+        F.count_if(F.col("recorded") & F.col("near_detected")).alias("matched_storm"),
+    )
 
 
 def validate_events(
@@ -114,29 +129,16 @@ def validate_events(
         .filter(F.col("start_date").between(first, last))
         .withColumn("end_date", F.least(F.col("end_date"), last))
     )
-    # Both day sets are counted and matched in both directions: written once.
-    detected = cut_lineage(expand_days(in_window, "start_date", "end_date").select(*CATEGORY_DAYS).distinct())
+    detected = merged_spans(in_window, "start_date", "end_date", PLACE)
     states = stations.select("state").distinct()
-    recorded = cut_lineage(
-        storm_state_days(storm, config, theirs).join(states, "state", "left_semi").select(*CATEGORY_DAYS)
-    )
-
-    def size(frame: DataFrame, name: str) -> DataFrame:
-        return frame.groupBy("category").agg(F.count(F.lit(1)).alias(name))
-
+    recorded = storm_spans(storm, config, theirs).join(states, "state", "left_semi")
     spark = events.sparkSession
     names = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
     network = in_window.groupBy("category").agg(
         F.count_distinct("station_id").alias("stations"), F.count_distinct("state").alias("states")
     )
-    totals = names.join(network, "category", "left")
-    for frame, name in (
-        (detected, "detected_state_days"),
-        (near_days(detected, recorded, config.tolerance_days), "matched_detected"),
-        (recorded, "storm_state_days"),
-        (near_days(recorded, detected, config.tolerance_days), "matched_storm"),
-    ):
-        totals = totals.join(size(frame, name), "category", "left")
+    days = matched_days(detected, recorded, config.tolerance_days)
+    totals = names.join(network, "category", "left").join(days, "category", "left")
     covered = states.agg(F.count(F.lit(1))).scalar()
     state_days = covered * (F.datediff(last, first) + 1)
     totals = totals.fillna(0)

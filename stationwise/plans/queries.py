@@ -25,7 +25,7 @@ from stationwise.config import (
 from stationwise.functions.calendar import days_in_year
 from stationwise.functions.geo import haversine_km
 from stationwise.functions.ranking import with_descending_rank, with_percentile_rank
-from stationwise.operators import checks, completeness, dashboard, events, geography, panel, risk
+from stationwise.operators import checks, completeness, dashboard, events, geography, intervals, panel, risk
 from stationwise.operators import runs, selection, spatial, storms, thresholds, trends
 from stationwise.operators.observations import daily_wide, keep_valid
 from stationwise.plans.standin import (
@@ -597,14 +597,13 @@ def storm_days(spark, folder):
 
 @query
 def date_expand_capped(spark, folder):
-    """Open days of every order: order date to its last ship date. Equal spans are counted before they become days."""
+    """Open orders of every day, from order date to last ship date: a sweep line, no span becomes days."""
     shipped = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("shipped"))
     orders = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("begin"))
     spans = orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "begin", storms.capped_end(F.col("begin"), F.col("shipped"), None).alias("end")
     )
-    spans = spans.groupBy("begin", "end").agg(F.count(F.lit(1)).alias("orders"))
-    return storms.expand_days(spans, "begin", "end").groupBy("day").agg(F.sum("orders").alias("open_orders"))
+    return intervals.days_open(spans, "begin", "end", name="open_orders")
 
 
 @query
