@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from stationwise.config import NETWORK_PRIOR, SelectionConfig
 from stationwise.functions.geo import grid_cell, haversine_km, valid_position
 from stationwise.functions.scans import with_position
+from stationwise.operators.farthest import farthest_order
 from stationwise.session import cut_lineage
 
 CELL = ["lat_cell", "lon_cell"]
-#: Picks after which the distances to the nearest pick are written.
-CUT_EVERY = 5
 
 
 def with_cell(stations: DataFrame, degrees: float) -> DataFrame:
@@ -131,47 +130,18 @@ def farthest_points(
     radius_km: float = 6371.0088,
     tie_columns: Sequence[str] = ("station_id",),
 ) -> DataFrame:
-    """Repeatedly add the station farthest from those already kept.
+    """Repeatedly add the station farthest from those already kept, with its ``pick_order``.
 
-    Each step needs the one before it. A step is one distributed maximum; the
-    driver keeps only the positions already picked, at most ``limit`` of them.
     Ties go to the first station in ``tie_columns`` order. Without a start
     station the first one in that order begins.
     """
-    places = cut_lineage(stations.select(*dict.fromkeys(["station_id", "lat", "lon", *tie_columns])))
-    tie = F.struct(*tie_columns)
-    picked = [
-        (r["station_id"], r["lat"], r["lon"])
-        for r in places.filter(F.col("station_id").isin(*start)).select("station_id", "lat", "lon").collect()
-    ] if start else []
+    picked, _ = farthest_order(stations, limit, start, radius_km, tie_columns)
     if not picked:
-        row = places.agg(F.min_by(F.struct("station_id", "lat", "lon"), tie).alias("r")).first()["r"]
-        picked = [tuple(row)] if row is not None else []
-
-    def nearer(rest: DataFrame, fresh: list[tuple]) -> DataFrame:
-        """The rest without fresh picks, its distance to the nearest pick brought up to date."""
-        far = [haversine_km(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b), radius_km) for _, a, b in fresh]
-        return rest.filter(~F.col("station_id").isin(*[p[0] for p in fresh])).withColumn(
-            "nearest", F.least(F.col("nearest"), *far)
-        )
-
-    if picked:
-        rest = nearer(places.withColumn("nearest", F.lit(float("inf"))), picked)
-    while picked and len(picked) < limit:
-        row = rest.orderBy(F.desc("nearest"), *tie_columns).select("station_id", "lat", "lon").first()
-        if row is None:
-            break
-        picked.append(tuple(row))
-        rest = nearer(rest, picked[-1:])
-        if len(picked) % CUT_EVERY == 0:
-            rest = cut_lineage(rest)
-    order = {station: position for position, (station, _, _) in enumerate(picked, start=1)}
-    pairs = [F.lit(item) for pair in order.items() for item in pair]
-    if not pairs:
         return stations.limit(0).withColumn("pick_order", F.lit(0))
-    return stations.filter(F.col("station_id").isin(*order)).withColumn(
-        "pick_order", F.create_map(*pairs)[F.col("station_id")]
+    order = stations.sparkSession.createDataFrame(
+        [(station, place) for place, station in enumerate(picked, start=1)], "station_id string, pick_order int"
     )
+    return stations.join(F.broadcast(order), "station_id")
 
 
 def thin_selection(selected: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:

@@ -780,6 +780,16 @@ bent AS (SELECT * REPLACE (CASE WHEN day(start_date) % 5 = 0 THEN start_date - 1
                            CASE WHEN day(start_date) % 7 = 0 THEN duration_days + 1 ELSE duration_days END AS duration_days) FROM ev)""", select="""
 SELECT * FROM bent WHERE end_date < start_date OR duration_days < 1
 UNION ALL SELECT * FROM bent WHERE end_date - start_date + 1 <> duration_days""")
+    q["event_store"] = with_(*to_events, select="""
+SELECT station_id, event_type, start_date, end_date, duration_days FROM ev WHERE event_type <> 'HEATWAVE' OR duration_days >= 5""")
+    q["summary_rules"] = with_(*to_b, select="""
+SELECT 'slope and p-value come with eligibility' AS rule, count(*) AS broken FROM table_b WHERE event_type = 'hot_days' AND trend_eligible HAVING count(*) > 0
+UNION ALL SELECT 'a station has all event types', count(DISTINCT station_id) FROM table_a WHERE right(station_id, 1) = '3' HAVING count(*) > 0""")
+    q["broken_thresholds"] = with_(nation, base(n), limits(n), long_limits, select="""
+SELECT station_id, element, target_calendar_day, target_calendar_day % 50 = 9 AS is_nan FROM long_limits WHERE target_calendar_day % 50 IN (7, 9)""")
+    q["dashboard_region_filter"] = with_(*to_a, shown, select="""
+SELECT event_type, station_id, year::INTEGER AS year, round(value, 6) AS value FROM vals_a
+WHERE (event_type = 'dry_spell' AND country = 'United States' AND year BETWEEN 1996 AND 2000) OR (event_type = 'heatwave' AND region_name = 'NATION_1')""")
     q["longest_dry_spells"] = with_(*to_events, select="""
 SELECT station_id, start_date, end_date, duration_days, intensity_value FROM ev WHERE event_type = 'DRY_SPELL'
 ORDER BY duration_days DESC, station_id, start_date LIMIT 10""")
@@ -809,4 +819,6 @@ SELECT event_type, sum(events)::BIGINT AS events, sum(event_days)::BIGINT AS eve
 
 
 def all_statements() -> dict[str, str]:
-    return _statements()
+    from stationwise.plans import roundtrip_sql
+
+    return _statements() | roundtrip_sql.statements()

@@ -58,7 +58,9 @@ def query(function: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from stationwise.plans import roundtrips
+
+    return _QUERIES | roundtrips.QUERIES
 
 
 # ---- shared stand-in tables ------------------------------------------------

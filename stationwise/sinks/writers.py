@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_parquet(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -22,6 +23,17 @@ def write_events(events: DataFrame, path: str) -> DataFrame:
     return write_parquet(events, path, ["event_type"])
 
 
+def rewrite_events(events: DataFrame, path: str) -> None:
+    """Replace the stored events of the types that the frame holds; other types stay as they are."""
+    writer = events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("event_type").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The event store; a filter on ``event_type`` reads only the folders of those types."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_ordered_csv(frame: DataFrame, path: str, order: Sequence[str]) -> None:
     """CSV with a header in key order.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.config import ELEMENTS
+from stationwise.functions.geo import valid_position
 from stationwise.sources.daily import number, read_lines
 
 COUNTRY_SCHEMA = "country_code string, country string, continent string"
@@ -31,6 +34,61 @@ def parse_station_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def format_station_lines(stations: DataFrame) -> DataFrame:
+    """The metadata layout from (station_id, lat, lon, elevation_m, state, station_name): the inverse of the parser.
+
+    Numbers are written with the decimals of the layout, texts as they are; NULL is blank.
+    """
+    kinds = dict(stations.dtypes)
+
+    def text(name: str, layout: str) -> Column:
+        plain = F.col(name) if kinds[name] == "string" else F.format_string(layout, F.col(name).cast("double"))
+        return F.coalesce(plain, F.lit(""))
+
+    fields = [
+        F.rpad(text("station_id", ""), 11, " "), F.lpad(text("lat", "%.4f"), 8, " "), F.lpad(text("lon", "%.4f"), 9, " "),
+        F.lpad(text("elevation_m", "%.1f"), 6, " "), F.rpad(text("state", ""), 2, " "), F.rpad(text("station_name", ""), 30, " "),
+    ]
+    return stations.select(F.concat_ws(" ", *fields).alias("value"))
+
+
+def station_line_faults() -> Column:
+    """Why a station line cannot be used; NULL for a usable one. The first reason counts."""
+    lat, lon = number(F.substring("value", 13, 8), "double"), number(F.substring("value", 22, 9), "double")
+    elevation = number(F.substring("value", 32, 6), "double")
+    return (
+        F.when(F.length("value") < 11, "line shorter than an id")
+        .when(F.trim(F.substring("value", 1, 11)) == "", "no station id")
+        .when(lat.isNull(), "latitude is not a number")
+        .when(lon.isNull(), "longitude is not a number")
+        .when(elevation.isNull(), "elevation is not a number")
+        .when(~valid_position(lat, lon), "position outside the globe")
+    )
+
+
+def store_station_lines(spark: SparkSession, paths: str | Sequence[str], folder: str) -> tuple[DataFrame, DataFrame]:
+    """(usable stations, rejects with file, line and reason), both written by one pass over the files.
+
+    The pass writes one table in two partitions; each of the results reads one of them.
+    """
+    lines = spark.read.schema("value string").text(paths).select("value", F.col("_metadata.file_name").alias("file"))
+    reason = station_line_faults()
+    marked = lines.select("*", reason.alias("reason"), reason.isNull().alias("usable"))
+    marked.write.mode("overwrite").partitionBy("usable").parquet(folder)
+    stored = spark.read.schema("value string, file string, reason string, usable boolean").parquet(folder)
+    good, bad = stored.filter("usable"), stored.filter("NOT usable")
+    return parse_station_lines(good), bad.select("file", F.col("value").alias("line"), "reason")
+
+
+def coverage_of(metadata: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Ids on one side only: wanted ones without metadata, and extra ones nobody asked for."""
+    sides = wanted.select("station_id", F.lit(1).alias("is_wanted")).distinct().join(
+        metadata.select("station_id", F.lit(1).alias("is_known")).distinct(), "station_id", "full_outer"
+    )
+    problem = F.when(F.col("is_known").isNull(), "missing").when(F.col("is_wanted").isNull(), "extra")
+    return sides.select("station_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     return parse_station_lines(read_lines(spark, path)).select("station_id", "state")
 
