@@ -55,9 +55,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, line_no, key, node): written; the key is a digest of the line, null without a word."""
+    """(row, doc_id, line_no, key, node, own, line): written, so lines are cut and cleaned once.
+
+    The key is a digest of the line, null without a word; ``own`` is its length.
+    """
     key, node = F.unhex(F.md5("line")).alias("key"), node_of(F.col("line")).alias("node")
-    return written(lines_of(docs).select("row", "doc_id", "line_no", key, node), "occurrences")
+    own = F.char_length("line").alias("own")
+    return written(lines_of(docs).select("row", "doc_id", "line_no", key, node, own, "line"), "occurrences")
 
 
 def node_of(line: Column) -> Column:
@@ -65,7 +69,7 @@ def node_of(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def segments(length: Column, number: Column, count: Column | int) -> tuple[Column, Column]:
+def segments(length: Column, number: Column, count: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment: segments differ by one character at most, the longer ones last."""
     base, longer = F.floor(length / count).cast("int"), (length % count).cast("int")
     shorter = count - longer
@@ -73,78 +77,79 @@ def segments(length: Column, number: Column, count: Column | int) -> tuple[Colum
     return start, base + (number >= shorter).cast("int")
 
 
-def kinds_of(edits: int, by: int) -> list[tuple[int, int]]:
-    """(segment, shift) of the keys under which a text meets those that are ``by`` characters shorter, within the edits."""
-    return [
-        (i, shift)
-        for i in range(edits + 1)
-        for shift in range(max(-i, by - (edits - i)), min(i, by + (edits - i)) + 1)
-    ]
-
+def with_segments(frame: DataFrame, name: str, edits: Column, by: Column, length: Column) -> DataFrame:
+    """Add a segment of an indexed text and its place in one that is ``by`` characters longer, as a struct of this name.
 
-def key_kinds(edits: int, deep: bool) -> list[Column]:
-    """All kinds of keys; the deep ones also name a segment of what lies left and right."""
-    names = ("deep", "shorter_by", "i", "shift", "left", "left_shift", "right", "right_shift")
-    found = []
-    for by in range(edits + 1):
-        for i, shift in kinds_of(edits, by):
-            if deep:
-                sides = [(*x, *y) for x in kinds_of(i, shift) for y in kinds_of(edits - i, by - shift)]
-            else:
-                sides = [(0, 0, 0, 0)]
-            found += [(by, i, shift, *x) for x in sides]
-    return [F.struct(F.lit(deep).alias("deep"), *[F.lit(x).alias(n) for x, n in zip(kind, names[1:])]) for kind in found]
+    One row per segment number and shift that the edits left and right of it allow: (i, start, size, shift).
+    Rows are made step by step. One expression with all kinds of keys would be a method too large for the JVM's compiler.
+    """
+    number = F.col(f"{name}_i")
+    numbered = frame.withColumn(f"{name}_i", F.explode(F.sequence(F.lit(0), edits)))
+    start, size = segments(length, number, edits + 1)
+    least, most = F.greatest(-number, by - (edits - number)), F.least(number, by + (edits - number))
+    shifted = numbered.withColumns({f"{name}_start": start, f"{name}_size": size})
+    shifted = shifted.withColumn(f"{name}_shift", F.explode(F.sequence(least, most)))
+    parts = ("i", "start", "size", "shift")
+    whole = F.struct(*[F.col(f"{name}_{p}").alias(p) for p in parts])
+    return shifted.withColumn(name, whole).drop(*[f"{name}_{p}" for p in parts])
 
 
-def segment_keys(docs: DataFrame, config: LineConfig) -> DataFrame:
-    """(node, bucket): all index and probe keys of the lines. A key says: length indexed, segment number, segment text.
+def keyed_lengths(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """The lines (node, own, wide) once per indexed length: their own and the next shorter ones.
 
-    Deep keys, of lengths under ``deep_below``, say that also of a segment on the left and one on the right.
-    The few kinds of keys are exploded first, so one short expression makes them all.
+    Texts are cut in a form of four bytes a character, where a place is found without counting from the start.
     """
-    edits, count = config.max_edits, config.max_edits + 1
-    flat, deep = key_kinds(edits, False), key_kinds(edits, True)
-    lines = lines_of(docs).select("line").withColumn("own", F.char_length("line")).where(F.col("own") >= config.least_chars)
-    kinds = (
-        F.when(F.col("own") < config.deep_below, F.array(*deep))
-        .when(F.col("own") >= config.deep_below + edits, F.array(*flat))
-        .otherwise(F.array(*deep, *flat))
-    )
-    keyed = lines.select(node_of(F.col("line")).alias("node"), "line", "own", F.inline(kinds))
-    keyed = keyed.withColumn("length", F.col("own") - F.col("shorter_by"))
-    keyed = keyed.where((F.col("length") > 0) & (F.col("deep") == (F.col("length") < config.deep_below)))
-    start, size = segments(F.col("length"), F.col("i"), count)
-    cut = keyed.withColumns({"start": start, "size": size}).withColumn("at", F.col("start") + F.col("shift"))
-    inside = cut.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("own")))
-    # Left and right of the segment: where the indexed line's parts are cut, and where this line's parts begin and end.
-    before, after = F.col("start") - 1, F.col("length") - F.col("start") - F.col("size") + 1
-    left_start, left_size = segments(before, F.col("left"), F.col("i") + 1)
-    right_start, right_size = segments(after, F.col("right"), edits - F.col("i") + 1)
-    right_from = F.col("at") + F.col("size")
-    sides = inside.withColumns(
-        {
-            "left_at": left_start + F.col("left_shift"),
-            "left_size": left_size,
-            "right_at": right_from - 1 + right_start + F.col("right_shift"),
-            "right_size": right_size,
-        }
-    )
-    left_fits = (F.col("left_at") >= 1) & (F.col("left_at") + F.col("left_size") <= F.col("at"))
-    right_fits = (F.col("right_at") >= right_from) & (F.col("right_at") + F.col("right_size") - 1 <= F.col("own"))
-    sides = sides.where(~F.col("deep") | (left_fits & right_fits))
+    wide = lines.select("node", "own", F.encode("line", "UTF-32").alias("wide"))
+    by = F.explode(F.sequence(F.lit(0), F.lit(config.max_edits))).alias("by")
+    return wide.select("*", by).withColumn("length", F.col("own") - F.col("by")).where("length > 0")
+
+
+def cut(at: Column, size: Column) -> Column:
+    return F.col("wide").substr(4 * at - 3, 4 * size)
 
-    def text(at: str, size: str) -> Column:
-        return F.col("line").substr(F.col(at), F.col(size))
 
-    name = ["length", "i", text("at", "size")]
-    more = ["left", text("left_at", "left_size"), "right", text("right_at", "right_size")]
-    bucket = F.when(F.col("deep"), F.xxhash64(*name, *more)).otherwise(F.xxhash64(*name))
-    return sides.select("node", bucket.alias("bucket"))
+def flat_keys(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """(node, bucket) of (node, line, own), for indexed lengths from ``deep_below`` on: length, segment number, segment text."""
+    keyed = keyed_lengths(lines, config).where(F.col("length") >= config.deep_below)
+    keyed = with_segments(keyed, "main", F.lit(config.max_edits), F.col("by"), F.col("length"))
+    at, size = F.col("main.start") + F.col("main.shift"), F.col("main.size")
+    inside = keyed.where((at >= 1) & (at + size - 1 <= F.col("own")))
+    return inside.select("node", F.xxhash64("length", "main.i", cut(at, size)).alias("bucket"))
 
 
-def line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def segment_keys(found: DataFrame, config: LineConfig) -> DataFrame:
+    """(node, bucket): all index and probe keys of the lines of stored occurrences.
+
+    Deep keys, of lengths under ``deep_below``, say also a segment on the left and one on the right.
+    """
+    lines = found.where(F.col("own") >= config.least_chars).select("node", "line", "own")
+    short = lines.where(F.col("own") < config.deep_below + config.max_edits)
+    return flat_keys(lines.where(F.col("own") >= config.deep_below), config).unionByName(deep_keys(short, config))
+
+
+def deep_keys(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """(node, bucket) of (node, line, own), for indexed lengths under ``deep_below``; equal lines are one first."""
+    edits = F.lit(config.max_edits)
+    lines = lines.groupBy("node").agg(F.first("line").alias("line"), F.first("own").alias("own"))
+    keyed = keyed_lengths(lines, config).where(F.col("length") < config.deep_below)
+    keyed = with_segments(keyed, "main", edits, F.col("by"), F.col("length"))
+    at, size = F.col("main.start") + F.col("main.shift"), F.col("main.size")
+    inside = keyed.where((at >= 1) & (at + size - 1 <= F.col("own")))
+    # Left and right of the segment: what the indexed line has there, and where this line's parts begin and end.
+    before, after = F.col("main.start") - 1, F.col("length") - F.col("main.start") - size + 1
+    sides = with_segments(inside, "left", F.col("main.i"), F.col("main.shift"), before)
+    left_at, left_size = F.col("left.start") + F.col("left.shift"), F.col("left.size")
+    sides = sides.where((left_at >= 1) & (left_at + left_size <= at))
+    sides = with_segments(sides, "right", edits - F.col("main.i"), F.col("by") - F.col("main.shift"), after)
+    right_at, right_size = at + size - 1 + F.col("right.start") + F.col("right.shift"), F.col("right.size")
+    sides = sides.where((right_at >= at + size) & (right_at + right_size - 1 <= F.col("own")))
+    name = ["length", "main.i", cut(at, size), "left.i", cut(left_at, left_size), "right.i", cut(right_at, right_size)]
+    return sides.select("node", F.xxhash64(*name).alias("bucket"))
+
+
+def line_texts(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line): written, the text of the wanted nodes."""
-    lines = lines_of(docs).select(node_of(F.col("line")).alias("node"), "line").where("line IS NOT NULL")
+    lines = found.where("line IS NOT NULL").select("node", "line")
     return written(with_small(lines, nodes, ["node"], most=SLIM_ROWS).groupBy("node").agg(F.first("line").alias("line")), "lines")
 
 
@@ -165,10 +170,10 @@ class EditBound(NoBound):
         return (apart <= self.max_edits) & (F.levenshtein(one, two, self.max_edits) >= 0)
 
 
-def close_lines(docs: DataFrame, config: LineConfig) -> DataFrame | None:
+def close_lines(found: DataFrame, config: LineConfig) -> DataFrame | None:
     """(node, component) of the lines that edits link to others."""
-    members = shared_buckets(segment_keys(docs, config))
-    texts = line_texts(docs, written(members.select("node").distinct(), "nodes"))
+    members = shared_buckets(segment_keys(found, config))
+    texts = line_texts(found, written(members.select("node").distinct(), "nodes"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
@@ -190,7 +195,7 @@ def line_classes(docs: DataFrame, config: LineConfig = LineConfig()) -> tuple[Da
     found = occurrences(docs)
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row", "line_no")
     groups = found.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("own_first"), F.count(F.lit(1)).alias("n"))
-    labels = close_lines(docs, config)
+    labels = close_lines(found, config)
     if labels is None:
         classes = groups.where("n > 1").select("key", "own_first", F.col("own_first").alias("class_first"))
         return found, written(classes, "classes")
