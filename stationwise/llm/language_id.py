@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import bounded_batches, held_out, table
+from stationwise.llm.common import bounded_batches, give_back, held_out, table
 
 UNKNOWN = "und"
 #: Anything between letters, also digits and low lines.
@@ -38,7 +38,7 @@ FILLER = b"\0" * 256
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``sample_rows`` (expected) of ``sample_chars`` at most per language are fitted on.
+    """At most ``sample_rows`` texts per language, of ``sample_chars`` characters at most, are fitted on.
 
     ``bytes_per_nat``: how many bytes of difference count as one nat in the score.
     A prediction is rejected when the next language needs less than ``margin`` more bytes.
@@ -60,15 +60,23 @@ def letters(text: str) -> str:
 
 
 def labelled_sample(training: DataFrame, config: LanguageConfig) -> dict[str, list[str]]:
-    """Texts per language, drawn at a rate from the counted rows, so their expected number is bounded."""
-    training = training.where("lang IS NOT NULL AND text IS NOT NULL")
-    rates = {r.lang: config.sample_rows / r["count"] for r in training.groupBy("lang").count().collect()}
-    if not rates:
+    """The ``sample_rows`` texts of every language whose hashes are least, each a piece from a place that the hash names.
+
+    Rows with one text count once, so repeated texts, and ids of any kind, change nothing. The first pass looks at
+    hashes only; it gives the largest one of every language that is still drawn.
+    """
+    mark = F.xxhash64(F.lit(config.seed), "text").alias("mark")
+    marked = training.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", mark)
+    order = Window.partitionBy("lang").orderBy("mark")
+    least = marked.select("lang", "mark").distinct().withColumn("place", F.row_number().over(order))
+    drawn_marks = least.where(F.col("place") <= config.sample_rows)
+    cuts = {r.lang: r.cut for r in drawn_marks.groupBy("lang").agg(F.max("mark").alias("cut")).collect()}
+    if not cuts:
         return {}
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(config.seed), "doc_id"), 11) / float(1 << 53)
-    drawn = training.where(draw < rate).select("lang", F.substring("text", 1, config.sample_chars).alias("text"))
-    texts: dict[str, list[str]] = {lang: [] for lang in rates}
+    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])[F.col("lang")]
+    place = F.pmod("mark", F.greatest(F.lit(1), F.char_length("text") - config.sample_chars + 1)).cast("int") + 1
+    drawn = marked.where(F.col("mark") <= cut).select("lang", "mark", F.substring("text", place, F.lit(config.sample_chars)).alias("text"))
+    texts: dict[str, list[str]] = {lang: [] for lang in cuts}
     for row in drawn.distinct().collect():
         texts[row.lang].append(letters(row.text))
     return texts
@@ -128,6 +136,8 @@ def with_language(docs: DataFrame, training: DataFrame, name: str, config: Langu
         coders = Coders(contents.value, config)
         for batch in texts:
             yield pd.DataFrame([coders.predict(x) for x in batch], columns=["lang_pred", "score", "margin", "rejected"])
+        del coders
+        give_back()
 
     return docs.withColumn(name, predicted("text"))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import bounded_batches, table, with_small, written
+from stationwise.llm.common import bounded_batches, give_back, table, with_small, written
 from stationwise.llm.links import NoBound, linked_components, shared_buckets
 
 
@@ -72,6 +72,10 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+#: Words whose hash a worker remembers.
+KEPT_WORDS = 50_000
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash; emptied when full."""
 
@@ -85,7 +89,7 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     found = text.encode().lower().split() if isinstance(text, str) else []
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    if len(hashes) > 100_000:
+    if len(hashes) > KEPT_WORDS:
         hashes.clear()
     values = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     width = min(words, len(values))
@@ -131,6 +135,8 @@ def signatures(docs: DataFrame, config: NearConfig, carry: str | None) -> DataFr
                 found = (set_digest(shingles), *signature(shingles, config)) if len(shingles) else (None, None, None)
                 rows.append((len(shingles), *found))
             yield pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
+        del hashes
+        give_back()
 
     carried = (F.col(carry) if carry else F.lit(None)).cast("long").alias("carried")
     found = docs.select("doc_id", carried, signed("text").alias("found"))
@@ -159,6 +165,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, config: NearConfig) -> DataFra
         for batch in batches:
             sets = [shingle_set(text, config.words, hashes) for text in batch]
             yield pd.DataFrame({"digest": [set_digest(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            del sets
+        del hashes
+        give_back()
 
     found = texts.select(gathered("text").alias("found")).select("found.*")
     named = with_small(found, wanted.select("node", "digest"), ["digest"])

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import bounded_batches, table, with_small, written
+from stationwise.llm.common import bounded_batches, give_back, table, with_small, written
 
 
 @dataclass(frozen=True)
@@ -190,6 +190,8 @@ def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
                         seen[len(piece)] += 1
                     rows.append((len(ids), [x.tobytes() for x in pieces], inside))
             yield pd.DataFrame(rows, columns=["doc_tokens", "ids", "inside"])
+        del coder
+        give_back()
 
     found = docs.select("doc_id", counted("text").alias("found"))
     found = found.select(

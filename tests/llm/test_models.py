@@ -8,11 +8,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stationwise.llm.common import table
-from stationwise.llm.language_id import op1_language_id, with_language
+from stationwise.llm.language_id import FILLER, LanguageConfig, dictionaries, labelled_sample, op1_language_id, with_language
 from stationwise.llm.lm_scoring import ModelConfig, scored
 from stationwise.llm.ngram_trie import EliasFano, Trie
 from stationwise.llm.packing import ChunkIds, PackingConfig, default_config, packed, sequences, shortest_pack_first
@@ -33,6 +34,52 @@ def test_held_out_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_the_sample_is_bounded_whatever_the_ids_and_copies(spark):
+    """Null or repeated ids do not steer the sample; copies count once; very long texts give a piece."""
+    texts = [f"le chat {'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]} dort" for k in range(300)]
+    rows = [(None, texts[k % 300] if k % 3 else "toujours la meme phrase", "fr") for k in range(5_000)]
+    rows += [(7, text, "de") for text in ("ein haus", "zwei haeuser", "x" * 50_000 + " drei haeuser")] * 50
+    training = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = LanguageConfig(sample_rows=100, sample_chars=500)
+    drawn = labelled_sample(training, config)
+    assert len(drawn["fr"]) == 100 == len(set(drawn["fr"])) and len(drawn["de"]) == 3
+    assert {k: sorted(v) for k, v in drawn.items()} == {
+        k: sorted(v) for k, v in labelled_sample(training.withColumn("doc_id", F.lit(1)).repartition(7), config).items()
+    }
+    assert max(map(len, drawn["de"])) <= 500
+    found = with_language(training.limit(0).union(spark.createDataFrame([(1, "a" * 400_000, None)], training.schema)), training, "f")
+    assert found.select("f.*").count() == 1
+    assert labelled_sample(training.limit(0), config) == {}
+
+
+def test_predictions_equal_plain_compression(spark):
+    """The same dictionaries in a plain loop over compressors, whole text in pieces."""
+    docs = table_of_documents(spark)
+    config = LanguageConfig(sample_rows=40, dictionary_bytes=6_000)
+    contents = dictionaries(labelled_sample(docs, config), config)
+    wanted = {}
+    for row in docs.collect():
+        plain = " ".join("".join(c if c.isalpha() else " " for c in (row.text or "").lower()).split())
+        pieces = [plain[i : i + config.piece_chars].encode() for i in range(0, len(plain), config.piece_chars)]
+        if not pieces:
+            wanted[row.doc_id] = "und"
+            continue
+        pieces[-1] += FILLER if len(pieces[-1]) < config.short_bytes else b""
+        sizes = {}
+        for lang, content in sorted(contents.items()):
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=config.level)
+            coder = zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False)
+            sizes[lang] = sum(len(coder.compress(p)) for p in pieces)
+        wanted[row.doc_id] = min(sizes, key=lambda lang: (sizes[lang], lang))
+    found = with_language(docs, docs, "f", config).select("doc_id", "f.lang_pred").collect()
+    assert {r.doc_id: r.lang_pred for r in found} == wanted
+
+
+def table_of_documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "text", "lang")
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, x, "de" if i % 2 else "en") for i, x in enumerate(["the cat and the dog", "der Hund und die Katze"] * 8)]
     training = spark.createDataFrame(rows, "doc_id long, text string, lang string")
