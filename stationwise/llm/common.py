@@ -22,6 +22,8 @@ ARROW_BYTES = 4 << 20
 BROADCAST_ROWS = 250_000
 #: The same for tables of one or two numbers.
 SLIM_ROWS = 1_000_000
+#: A written table whose rows are bounded by a count is written by tasks of so many rows, not by one per shuffle partition.
+ROWS_A_TASK = 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,10 +61,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """Write the frame as Parquet to the shared folder and read it back, which cuts its lineage."""
+def written(frame: DataFrame, name: str, most: int | None = None, codec: str = "snappy") -> DataFrame:
+    """Write the frame as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    ``most`` is a counted bound of the rows of the frame and of what its last stage reads; small tables then come in few files.
+    """
     path = new_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    if most is not None:
+        frame = frame.coalesce(most // ROWS_A_TASK + 1)
+    frame.write.option("compression", codec).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -41,7 +41,11 @@ class LineConfig:
 
 
 def plain_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, BLANK, " "))
+    """The line with runs of white space as one space and none at the ends; most lines need no pattern for that."""
+    several = F.lit(False)
+    for sign in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        several = several | F.contains(line, F.lit(sign))
+    return F.trim(F.when(several, F.regexp_replace(line, BLANK, " ")).otherwise(line))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """
     key, node = F.unhex(F.md5("line")).alias("key"), node_of(F.col("line")).alias("node")
     own = F.char_length("line").alias("own")
-    return written(lines_of(docs).select("row", "doc_id", "line_no", key, node, own, "line"), "occurrences")
+    return written(lines_of(docs).select("row", "doc_id", "line_no", key, node, own, "line"), "occurrences", codec="zstd")
 
 
 def node_of(line: Column) -> Column:
@@ -153,21 +157,48 @@ def line_texts(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(with_small(lines, nodes, ["node"], most=SLIM_ROWS).groupBy("node").agg(F.first("line").alias("line")), "lines")
 
 
+GRAM = 3
+PARITY = ("parity_0", "parity_1", "parity_2", "parity_3")
+
+
+def gram_parity(lines: DataFrame) -> DataFrame:
+    """(node, line, parity words) of (node, line): 256 bits that say which hashes of GRAM characters occur an odd number of times.
+
+    An edit replaces GRAM of them at most, so it turns 2 * GRAM bits at most.
+    """
+    wide = lines.select("node", "line", F.encode("line", "UTF-32").alias("wide"))
+    last = F.char_length("line") - GRAM + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array(F.lit(1)))
+    wide = wide.withColumn("place", F.explode(places))
+    grams = wide.select("node", "line", F.xxhash64(F.col("wide").substr(4 * F.col("place") - 3, F.lit(4 * GRAM))).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 62), F.expr("shiftleft(1L, cast(h & 63 AS INT))")
+    words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(PARITY)]
+    return grams.groupBy("node").agg(F.first("line").alias("line"), *words)
+
+
 class EditBound(NoBound):
-    """Open pairs meet only within the edit distance, which the join itself computes in its band."""
+    """Open pairs meet only within the edit distance, which the join itself computes in its band.
+
+    Before that, the parities of their short substrings must not differ by more than the edits can change.
+    """
 
-    columns = ("line",)
+    columns = ("line", *PARITY)
 
     def __init__(self, texts: DataFrame, max_edits: int) -> None:
         self.texts, self.max_edits = texts, max_edits
 
     def narrowed(self, members: DataFrame) -> DataFrame:
-        return with_small(members.drop("line"), self.texts, ["node"])
+        members = members.drop(*self.columns)
+        nodes = written(members.select("node").distinct(), "open_nodes")
+        parities = gram_parity(with_small(self.texts, nodes, ["node"], most=SLIM_ROWS))
+        return with_small(members, written(parities, "parities"), ["node"])
 
     def possible(self, left: str, right: str) -> Column:
         one, two = F.col(f"{left}.line"), F.col(f"{right}.line")
         apart = F.abs(F.char_length(one) - F.char_length(two))
-        return (apart <= self.max_edits) & (F.levenshtein(one, two, self.max_edits) >= 0)
+        turned = sum(F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}"))) for p in PARITY)
+        near = F.levenshtein(one, two, self.max_edits) >= 0
+        return (turned <= 2 * GRAM * self.max_edits) & (apart <= self.max_edits) & near
 
 
 def close_lines(found: DataFrame, config: LineConfig) -> DataFrame | None:
@@ -223,7 +254,7 @@ def cleaned(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     The text has the lines that stay, as they were, with those without a word; null stays null. ``dropped`` has the
     numbers (from 0) of the others.
     """
-    docs = written(numbered(docs.select("doc_id", "text")), "numbered")
+    docs = written(numbered(docs.select("doc_id", "text")), "numbered", codec="zstd")
     found, classes = line_classes(docs, config)
     dropped = dropped_lines(found, classes).groupBy("row").agg(
         F.count_if(F.col("exact")).alias("n_exact_dup"),

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import SLIM_ROWS, with_small, written
+from stationwise.llm.common import BROADCAST_ROWS, SLIM_ROWS, with_small, written
 
 #: Open pairs per member of a bucket that are verified without trying another centre.
 PAIRS_PER_MEMBER = 2
@@ -54,23 +54,23 @@ class NoBound:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach, for nodes with a link.
 
-    Rounds take the smallest label among neighbours, then the label's own label.
+    A round takes the smallest label among neighbours and the label's own label, in one written table.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = written(labels.select("node", F.least("node", "least").alias("component")), "labels")
+    links = written(links.select("a", "b"), "links")
+    ends = 2 * links.count()
+    both = written(links.union(links.select("b", "a")), "edges", ends)
+    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    labels = written(least.select("node", F.least("node", "least").alias("component")), "labels", ends)
+    hinted = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda frame: frame
     while True:
-        near = with_small(both.withColumnRenamed("b", "node"), labels, ["node"])
+        near = both.withColumnRenamed("b", "node").join(hinted(labels), "node")
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        lower = with_small(labels, near, ["node"]).select(
-            "node", F.col("component").alias("before"), F.least("component", "least").alias("component")
-        )
-        lower = written(lower, "labels")
-        roots = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = with_small(lower, roots, ["component"]).select("node", "before", F.col("root").alias("component"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", "component")
-        if jumped.where(F.col("before") != F.col("component")).isEmpty():
+        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        lower = labels.join(hinted(near), "node").join(hinted(roots), "component")
+        lower = lower.select("node", F.col("component").alias("before"), F.least("least", "root").alias("component"))
+        lower = written(lower, "labels", ends)
+        labels = lower.select("node", "component")
+        if lower.where(F.col("before") != F.col("component")).isEmpty():
             return labels
 
 
@@ -81,17 +81,18 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     """
     ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
     several = written(ends.where("low < high").select("bucket", "size"), "buckets")
-    shared = written(with_small(members, several, ["bucket"], most=SLIM_ROWS).distinct(), "members")
-    mass = written(shared.groupBy("node").agg(F.sum("size").alias("mass")), "mass")
-    return written(with_small(shared.select("bucket", "node"), mass, ["node"]), "members")
+    most = several.agg(F.sum("size")).first()[0] or 0
+    shared = written(with_small(members, several, ["bucket"], most=SLIM_ROWS).distinct(), "members", most)
+    mass = written(shared.groupBy("node").agg(F.sum("size").alias("mass")), "mass", most)
+    return written(with_small(shared.select("bucket", "node"), mass, ["node"]), "members", most)
 
 
-def proposals(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def proposals(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Every bucket's centre, and its pairs with the bucket's other members across components."""
     centre = F.max(F.struct("mass", (-F.col("node")).alias("back"), "component")).alias("centre")
     centres = members.groupBy("bucket").agg(centre)
     centres = written(
-        centres.select("bucket", (-F.col("centre.back")).alias("centre"), F.col("centre.component").alias("centred")), "centres"
+        centres.select("bucket", (-F.col("centre.back")).alias("centre"), F.col("centre.component").alias("centred")), "centres", most
     )
     pairs = with_small(members.select("bucket", "node", "component"), centres, ["bucket"])
     pairs = pairs.where(F.col("component") != F.col("centred"))
@@ -115,22 +116,22 @@ def cross_pairs(members: DataFrame, bound: NoBound) -> DataFrame:
     return left.join(right, same).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
-def open_members(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """Members of buckets with several components, their number and that of pairs across components."""
+def open_members(members: DataFrame, labels: DataFrame | None, most: int) -> tuple[DataFrame, int, int]:
+    """Members (at most so many) of buckets with several components, their number and that of pairs across components."""
     tagged = members.drop("component")
     if labels is None:
         tagged = tagged.withColumn("component", F.col("node"))
     else:
         tagged = with_small(tagged, labels, ["node"], "left")
         tagged = tagged.withColumn("component", F.coalesce("component", "node"))
-    tagged = written(tagged, "tagged")
+    tagged = written(tagged, "tagged", most)
     parts = tagged.groupBy("bucket", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
     sums = parts.groupBy("bucket").agg(
         F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")
     )
-    live = written(sums.where("parts > 1"), "live")
+    live = written(sums.where("parts > 1"), "live", most)
     total = live.agg(F.sum("size").alias("size"), F.sum((F.col("size") ** 2 - F.col("squares")) / 2).alias("pairs")).first()
-    rows = written(with_small(tagged, live.select("bucket"), ["bucket"]), "open")
+    rows = written(with_small(tagged, live.select("bucket"), ["bucket"]), "open", most)
     return rows, int(total["size"] or 0), int(total["pairs"] or 0)
 
 
@@ -140,11 +141,11 @@ def linked_components(members: DataFrame, verify: Verify, bound: NoBound = NoBou
     ``members`` are those of ``shared_buckets``; ``verify`` returns checked
     pairs (a, b, linked); pairs that it leaves out are not linked.
     """
-    links, labels, before = None, None, None
+    links, labels, before, most = None, None, None, members.count()
     while True:
-        members, size, pairs = open_members(members, labels)
+        members, size, pairs = open_members(members, labels, most)
         if before is not None and pairs:
-            members, size, pairs = open_members(bound.narrowed(members), labels)
+            members, size, pairs = open_members(bound.narrowed(members), labels, most)
         if not pairs:
             return labels
         all_pairs = pairs <= max(LEAST_PAIRS, PAIRS_PER_MEMBER * size) or (before is not None and pairs > before / 2)
@@ -153,11 +154,11 @@ def linked_components(members: DataFrame, verify: Verify, bound: NoBound = NoBou
                 members = bound.narrowed(members)
             found = written(verify(cross_pairs(members, bound)), "links")
         else:
-            centres, proposed = proposals(members)
+            centres, proposed = proposals(members, most)
             found = written(verify(proposed), "links")
             tried = centres.select("bucket", F.col("centre").alias("node"))
             members = bound.measured(members.join(tried, ["bucket", "node"], "left_anti"), centres, found)
-            members = written(members, "members")
+            members = written(members, "members", most)
             before = pairs
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
