@@ -162,7 +162,7 @@ PARITY = ("parity_0", "parity_1", "parity_2", "parity_3")
 
 
 def gram_parity(lines: DataFrame) -> DataFrame:
-    """(node, line, parity words) of (node, line): 256 bits that say which hashes of GRAM characters occur an odd number of times.
+    """(node, parity words) of (node, line): 256 bits that say which hashes of GRAM characters occur an odd number of times.
 
     An edit replaces GRAM of them at most, so it turns 2 * GRAM bits at most.
     """
@@ -170,10 +170,10 @@ def gram_parity(lines: DataFrame) -> DataFrame:
     last = F.char_length("line") - GRAM + 1
     places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array(F.lit(1)))
     wide = wide.withColumn("place", F.explode(places))
-    grams = wide.select("node", "line", F.xxhash64(F.col("wide").substr(4 * F.col("place") - 3, F.lit(4 * GRAM))).alias("h"))
+    grams = wide.select("node", F.xxhash64(F.col("wide").substr(4 * F.col("place") - 3, F.lit(4 * GRAM))).alias("h"))
     word, bit = F.shiftrightunsigned("h", 62), F.expr("shiftleft(1L, cast(h & 63 AS INT))")
     words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(PARITY)]
-    return grams.groupBy("node").agg(F.first("line").alias("line"), *words)
+    return grams.groupBy("node").agg(*words)
 
 
 class EditBound(NoBound):
@@ -190,8 +190,9 @@ class EditBound(NoBound):
     def narrowed(self, members: DataFrame) -> DataFrame:
         members = members.drop(*self.columns)
         nodes = written(members.select("node").distinct(), "open_nodes")
-        parities = gram_parity(with_small(self.texts, nodes, ["node"], most=SLIM_ROWS))
-        return with_small(members, written(parities, "parities"), ["node"])
+        texts = with_small(self.texts, nodes, ["node"], most=SLIM_ROWS)
+        parities = with_small(texts, written(gram_parity(texts), "parities"), ["node"])
+        return with_small(members, written(parities, "open_lines"), ["node"])
 
     def possible(self, left: str, right: str) -> Column:
         one, two = F.col(f"{left}.line"), F.col(f"{right}.line")
