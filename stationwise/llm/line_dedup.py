@@ -157,6 +157,9 @@ def line_texts(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(with_small(lines, nodes, ["node"], most=SLIM_ROWS).groupBy("node").agg(F.first("line").alias("line")), "lines")
 
 
+#: A line with a word, from the first character of the word.
+LINE = r"[^\x20\x09-\x0D][^\n]*"
+
 GRAM = 3
 PARITY = ("parity_0", "parity_1", "parity_2", "parity_3")
 
@@ -262,9 +265,9 @@ def cleaned(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
         F.count_if(~F.col("exact")).alias("n_near_dup"),
         F.sort_array(F.collect_list("line_no")).alias("gone"),
     )
-    counts = found.groupBy("row").agg(F.count("key").alias("n_lines")).join(dropped, "row", "left")
-    counts = written(counts.fillna(0, ["n_exact_dup", "n_near_dup"]), "counts")
-    rows = with_small(docs, counts, ["row"])
+    rows = with_small(docs, written(dropped, "dropped"), ["row"], "left").fillna(0, ["n_exact_dup", "n_near_dup"])
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(LINE)), F.lit(0)).cast("long")
+    rows = rows.withColumn("n_lines", n_lines)
     stay = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
     return rows.select(
         "doc_id",
