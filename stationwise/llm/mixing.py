@@ -10,11 +10,12 @@ A source with rate target / size gives every document floor(rate) whole
 repetitions. The rest of the target goes, in the order of a seeded hash, to one
 more repetition each until it is used up; the document at the border gives a part
 of its words. So every source meets its target to the word. The border is found
-by two histograms of hash digits, not by sorting a source in one task.
+by a histogram per part of the hash, not by sorting a source in one task. Rows with
+one repeated identifier share that hash and are ordered by the hash of a stored row number.
 
 Cases: null text has size 0; null source is a source of its own, last in order;
-sources without words get target 0; equal hashes are ordered by a stored row
-number; an empty table gives no rows; further columns are ignored.
+sources without words get target 0; rows without an identifier are ordered by the
+hash of their row number; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,55 +81,70 @@ def source_targets(sized: DataFrame, config: MixConfig) -> DataFrame:
     )
 
 
-def border(cells: DataFrame, keys: list[str], digit: str) -> DataFrame:
-    """The cell of each source in which its extra words run out, and what is left for it."""
-    order = Window.partitionBy(*keys).orderBy(digit)
-    cells = cells.withColumn("upto", F.sum("words").over(order))
-    crossing = (F.col("upto") - F.col("words") < F.col("extra")) & (F.col("extra") <= F.col("upto"))
-    return cells.where(crossing).select(*keys, digit, (F.col("extra") - F.col("upto") + F.col("words")).alias("left_over"))
+#: Parts of a row's place in the order of its source, most significant first: the seeded hash of ``order_by`` in three
+#: parts, then the hash of the row key, which tells rows with one repeated ``order_by`` apart.
+LEVELS = ("digit1", "digit2", "rest", "tie1", "tie2")
 
 
-def mixed(rows: DataFrame, key: str, config: MixConfig = MixConfig()) -> DataFrame:
-    """(key, size, source_size, target, whole, extra_words): what the mix takes of every row.
-
-    ``rows`` has a unique column ``key``, a source and a size, and is read several times.
-    """
+def with_places(rows: DataFrame, key: str, config: MixConfig) -> DataFrame:
+    """(key, source, no_source, size, LEVELS): rows without ``order_by`` are placed by their key."""
     bits = config.digit_bits
     mask = (1 << bits) - 1
-    order = F.xxhash64(F.lit(config.seed), F.col("order_by"))
-    sized = rows.select(
+    lone = F.when(F.col("order_by").isNull(), F.col(key))
+    order, tie = F.xxhash64(F.lit(config.seed), F.col("order_by"), lone), F.xxhash64(F.lit(config.seed), F.col(key))
+    return rows.select(
         F.col(key).alias("key"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
         F.col("source").isNull().alias("no_source"),
         "size",
-        order.alias("order"),
         F.shiftrightunsigned(order, 64 - bits).alias("digit1"),
         F.shiftrightunsigned(order, 64 - 2 * bits).bitwiseAND(mask).alias("digit2"),
+        order.bitwiseAND((1 << (64 - 2 * bits)) - 1).alias("rest"),
+        F.shiftrightunsigned(tie, 64 - bits).alias("tie1"),
+        F.shiftrightunsigned(tie, 64 - 2 * bits).bitwiseAND(mask).alias("tie2"),
     )
+
+
+def border(cells: DataFrame, keys: list[str], digit: str) -> DataFrame:
+    """The cell of each group of keys in which its extra words run out, and what is left for it."""
+    order = Window.partitionBy(*keys).orderBy(digit)
+    cells = cells.withColumn("upto", F.sum("words").over(order))
+    crossing = (F.col("upto") - F.col("words") < F.col("extra")) & (F.col("extra") <= F.col("upto"))
+    return cells.where(crossing).select(*keys, digit, (F.col("extra") - F.col("upto") + F.col("words")).alias("extra"))
+
+
+def border_cells(sized: DataFrame, wanted: DataFrame, source: list[str]) -> DataFrame:
+    """(source, LEVELS, extra): of each source the smallest cell in which its words run out, found level by level."""
+    cells = wanted
+    for i, level in enumerate(LEVELS):
+        keys = [*source, *LEVELS[:i]]
+        counted = with_small(sized, cells, keys).groupBy(*keys, "extra", level).agg(F.sum("size").alias("words"))
+        cells = written(border(counted, keys, level), "border")
+    return cells
+
+
+def mixed(rows: DataFrame, key: str, config: MixConfig = MixConfig()) -> DataFrame:
+    """(key, size, source_size, target, whole, extra_words): what the mix takes of every row.
+
+    ``rows`` has a unique column ``key``, a source and a size, and is read several times.
+    """
+    sized = with_places(rows, key, config)
     named = F.when(~F.col("no_source"), F.col("source")).alias("source")
     targets = source_targets(sized.select(named, "size"), config)
     source = ["no_source", "source"]
     targets = written(targets.withColumn("no_source", F.col("source").isNull()).fillna("", ["source"]), "targets")
-    wanted = targets.select(*source, "extra")
-
-    coarse = sized.groupBy(*source, "digit1").agg(F.sum("size").alias("words"))
-    first = written(border(with_small(coarse, wanted, source), source, "digit1"), "border")
-    inside = with_small(sized, first.withColumnRenamed("left_over", "extra"), [*source, "digit1"])
-    fine = inside.groupBy(*source, "extra", "digit2").agg(F.sum("size").alias("words"))
-    second = written(border(fine, source, "digit2"), "border")
-    marks = first.select(*source, F.col("digit1").alias("mark1")).join(
-        second.select(*source, F.col("digit2").alias("mark2"), "left_over"), source
-    )
-    marks = written(targets.join(marks, source, "left"), "marks")
+    cells = border_cells(sized, targets.select(*source, "extra"), source)
+    renamed = {**{d: f"{d}_mark" for d in LEVELS}, "extra": "left_over"}
+    marks = written(targets.join(cells.withColumnsRenamed(renamed), source, "left"), "marks")
 
     placed = with_small(sized, marks, source)
-    before = (F.col("digit1") < F.col("mark1")) | ((F.col("digit1") == F.col("mark1")) & (F.col("digit2") < F.col("mark2")))
-    at = (F.col("digit1") == F.col("mark1")) & (F.col("digit2") == F.col("mark2"))
-    upto = F.sum("size").over(Window.partitionBy(*source).orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0))
+    here, mark = F.struct(*LEVELS), F.struct(*[F.col(f"{d}_mark").alias(d) for d in LEVELS])
+    known = F.col("left_over").isNotNull()
+    before, at = known & (here < mark), known & (here == mark)
+    upto = F.sum("size").over(Window.partitionBy(*source).orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     taken = ["key", "size", "source_size", "target", "whole"]
     part = F.least(F.col("size"), F.greatest(F.col("left_over") - upto + F.col("size"), F.lit(0)))
-    rest = placed.where(F.coalesce(~at, F.lit(True)))
-    return rest.select(*taken, F.when(before, F.col("size")).otherwise(0).cast("long").alias("extra_words")).union(
+    return placed.where(~at).select(*taken, F.when(before, F.col("size")).otherwise(0).cast("long").alias("extra_words")).union(
         placed.where(at).select(*taken, part.cast("long").alias("extra_words"))
     )
 

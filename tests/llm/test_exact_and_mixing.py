@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import with_row_key, word_count
 from stationwise.llm.exact_dedup import exact_groups
-from stationwise.llm.mixing import MixConfig, fill_level, mixed
+from stationwise.llm.mixing import LEVELS, MixConfig, border_cells, fill_level, mixed, with_places
 
 ROWS = [
     (4, "one  two", "b"),
@@ -98,6 +98,23 @@ def test_mix_meets_capped_targets(spark, most):
     assert sorted((r.key, r.whole, r.extra_words) for r in again) == sorted((r[key], r.whole, r.extra_words) for r in found)
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_mix_of_rows_with_one_identifier(spark, same):
+    """Rows without an identifier, or with one that repeats, do not meet in one cell, and their source gets its words."""
+    size = (1 + F.col("id") % 9).cast("long").alias("size")
+    source = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source")
+    rows = spark.range(12_000).select(F.col("id").alias("key"), source, size, F.lit(same).cast("long").alias("order_by"))
+    found = mixed(rows, "key")
+    totals = found.groupBy("target").agg(F.sum(F.col("whole") * F.col("size") + F.col("extra_words")).alias("n")).collect()
+    assert len(totals) == 3 and all(abs(r.n - r.target) <= 1 for r in totals)
+    assert sorted(found.collect()) == sorted(mixed(rows.repartition(5), "key").collect())
+    sized = with_places(rows, "key", MixConfig())
+    wanted = sized.groupBy("no_source", "source").agg((F.sum("size") / 2).cast("long").alias("extra"))
+    cells = border_cells(sized, wanted, ["no_source", "source"])
+    assert cells.count() == 3
+    assert sized.join(cells, ["no_source", "source", *LEVELS], "left_semi").count() <= 12
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "key long, source string, size long, order_by long")
     assert mixed(empty, "key").count() == 0
