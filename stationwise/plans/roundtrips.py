@@ -102,7 +102,7 @@ def gappy_completeness(spark, folder):
 def screening_inputs(spark: SparkSession, folder: str, second_try: bool) -> ScreeningInputs:
     """Suppliers as stations; files of some are missing, those of others fail at the first try."""
     observations = gappy_observations(spark, folder)
-    key = F.substring("station_id", 3, 9).cast("int")
+    key = F.substring("station_id", 3, 9).cast("long")
     ranges = observations.filter("value IS NOT NULL").groupBy("station_id", "element").agg(
         F.min(F.year("date")).alias("first_year"), F.max(F.year("date")).alias("last_year")
     )
@@ -178,7 +178,7 @@ def result_store(spark, folder):
     """Two runs that were committed, one that was not, and their compaction."""
     early, late = supplier_lines(spark, folder, 1995, 1997), supplier_lines(spark, folder, 1998, 2001)
     store = RunStore(spark, new_folder(spark, "store"), early.schema, ["station_id"])
-    key = F.substring("station_id", 3, 9).cast("int")
+    key = F.substring("station_id", 3, 9).cast("long")
     store.append(early)
     store.write_run(late.withColumn("lines", F.lit(-1).cast("long")))
     store.append(late.filter(key % 3 == 0))

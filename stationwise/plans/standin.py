@@ -95,12 +95,12 @@ def reused(frame: DataFrame) -> DataFrame:
 
 
 def pseudo_lat(key: Column) -> Column:
-    """The tables have no coordinates: a fixed rule spreads the keys over the globe."""
-    return (key * 7919 % 12000) / 100.0 - 60.0
+    """The tables have no coordinates: a fixed rule spreads the keys over the globe, whatever their number type."""
+    return (key.cast("long") * 7919 % 12000) / 100.0 - 60.0
 
 
 def pseudo_lon(key: Column) -> Column:
-    return (key * 104729 % 34000) / 100.0 - 170.0
+    return (key.cast("long") * 104729 % 34000) / 100.0 - 170.0
 
 
 def station_list(spark: SparkSession, folder: str) -> DataFrame:

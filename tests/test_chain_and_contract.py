@@ -51,6 +51,30 @@ def test_query_matches_sql(spark, name):
     assert ours == sorted(tuple(map(plain, r)) for r in result.fetchall())
 
 
+@pytest.fixture(scope="module")
+def high_keys(tmp_path_factory):
+    """The smallest tables with supplier keys whose product with a position's multiplier leaves 32 bits."""
+    folder = tmp_path_factory.mktemp("high_keys")
+    for table in TABLES.split():
+        keys = {"supplier": "s_suppkey", "lineitem": "l_suppkey"}
+        shifted = f"REPLACE ({keys[table]} + 60000 AS {keys[table]})" if table in keys else ""
+        duckdb.execute(f"COPY (SELECT * {shifted} FROM '{FOLDER}/{table}.parquet') TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["screening_chain", "screening_chain_report", "screening_results"])
+def test_screening_takes_high_keys(spark, high_keys, name):
+    connection = duckdb.connect()
+    for table in TABLES.split():
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{high_keys}/{table}.parquet'")
+    frame = contract.queries()[name](spark, high_keys)
+    result = connection.execute(contract.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(frame.columns) == sorted(columns)
+    ours = sorted(tuple(plain(r[c]) for c in columns) for r in frame.collect())
+    assert ours == sorted(tuple(map(plain, r)) for r in result.fetchall())
+
+
 def test_run_search_follows_the_threshold_join_without_a_shuffle(spark):
     """The daily side is shuffled once for the join; the month windows reuse it."""
     flagged = nation_flags(nation_days(spark, FOLDER))
