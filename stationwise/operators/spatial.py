@@ -1,28 +1,34 @@
 """Nearest neighbours, Getis-Ord Gi*, Moran's I and graph components.
 
-Neighbours come from a density-adaptive grid on the unit sphere and one equi
-join, never from all pairs. For every point the finest grid level is chosen at
-which its own cube still holds k+1 points; its k nearest neighbours then lie
-within that cube's diagonal, so the cubes within two steps hold all of them. A
+Neighbours come from a density-adaptive grid on the unit sphere and equi
+joins, never from all pairs. For every point the finest grid level is chosen at
+which its own cube still holds k+1 points. The k-th distance inside that cube
+bounds the search: only the cubes which that radius reaches are joined, and only
+pairs within it are ordered, a few per point. A
 cube one level finer holds at most k of the points that chose the level, so the
-join stays linear in the number of points however dense one area is. Joins onto
+joins stay linear in the number of points however dense one area is. Joins onto
 one row per key (values, labels) may have a hot key, for example when a third of
 the points share a place; adaptive execution splits those partitions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationwise.functions.geo import haversine_km
 from stationwise.functions.stats import hotspot_class, two_sided_p
-from stationwise.session import cut_lineage, join_groups
+from stationwise.session import MOST_GROUPS, cut_lineage, join_groups
 
 FINEST_LEVEL = 26
-REACH = 2
 SALTS = 16
 DISTANCE_DECIMALS = 6
+#: Kilometres and lengths on the unit sphere by which a search reaches beyond its bound, for rounded distances.
+SLACK_KM, SLACK = 1e-5, 1e-12
+#: Points of a task that puts each of them into several cubes.
+POINTS_A_TASK = 10_000
 
 
 def _unit_sphere(lat: Column, lon: Column) -> list[Column]:
@@ -42,10 +48,17 @@ def _cube(level: Column) -> list[Column]:
 CUBE = ["level", "cx", "cy", "cz"]
 
 
-def _reachable(cube: Column) -> Column:
-    """Cube coordinates within two steps on one axis."""
+def _reachable(axis: str) -> Column:
+    """Cube coordinates that the radius ``reach`` meets on one axis."""
+    edge = F.lit(2.0) / F.pow(F.lit(2.0), F.col("level"))
     last = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
-    return F.sequence(F.greatest(cube - REACH, F.lit(0)), F.least(cube + REACH, last))
+    low, high = (F.floor((F.col(axis) + 1.0 + way * F.col("reach")) / edge) for way in (-1, 1))
+    return F.sequence(F.least(F.greatest(low, F.lit(0)), last), F.least(high, last))
+
+
+def _spread(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame over tasks of a bounded number of its counted rows: a few bytes that explode are else one task."""
+    return frame.repartition(rows // POINTS_A_TASK + 1, "id")
 
 
 def _touches_sphere() -> Column:
@@ -66,50 +79,77 @@ def nearest_neighbours(
     """
     x, y, z = _unit_sphere(F.col("lat"), F.col("lon"))
     located = points.select(group, F.col(id_column).alias("id"), "lat", "lon").withColumns({"x": x, "y": y, "z": z})
+    located = cut_lineage(located)
+    rows = located.count()
     same_place = Window.partitionBy(group, "lat", "lon").orderBy("id")
     targets = located.withColumn("copy", F.row_number().over(same_place)).filter(F.col("copy") <= k + 1).drop("copy")
+    targets = _spread(cut_lineage(targets), rows)
+    own = cut_lineage(_own_cubes(_spread(located, rows), targets, k, group))
+    return _nearest(close_pairs(own, targets, k, group, radius_km), k, [group])
+
 
+def _nearest(pairs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    closest = Window.partitionBy(*keys, "i").orderBy("distance_km", "j")
+    return pairs.withColumn("position", F.row_number().over(closest)).filter(F.col("position") <= k)
+
+
+def _own_cubes(located: DataFrame, targets: DataFrame, k: int, group: str) -> DataFrame:
+    """Every point with the finest level whose cube around it holds k+1 targets; 0 where none does."""
     levels = F.sequence(F.lit(0), F.lit(FINEST_LEVEL))
-    targets = cut_lineage(targets)
-    target_cubes = targets.withColumn("level", F.explode(levels)).select("*", *_cube(F.col("level")))
-    full_cubes = (
-        target_cubes.groupBy(group, *CUBE)
+    full_cubes = cut_lineage(
+        targets.withColumn("level", F.explode(levels))
+        .select(group, "level", *_cube(F.col("level")))
+        .groupBy(group, *CUBE)
         .agg(F.count(F.lit(1)).alias("members"))
         .filter(F.col("members") >= k + 1)
     )
-    # A group of at most k points has no full cube: everyone meets at level 0.
-    # Coarse cubes hold most points, so this join is spread over salted keys.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    own = (
-        located.withColumn("level", F.explode(levels))
-        .select("*", *_cube(F.col("level")), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-        .join(full_cubes.withColumn("salt", salts), [group, *CUBE, "salt"], "left")
-        .filter(F.col("members").isNotNull() | (F.col("level") == 0))
+    # Cubes around a full one are full, so no level is left out up to the finest of them.
+    counted = full_cubes.agg(F.max("level").alias("finest"), F.count(F.lit(1)).alias("cubes")).first()
+    cubes = located.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(counted["finest"] or 0)))).select("*", *_cube(F.col("level")))
+    if counted["cubes"] <= MOST_GROUPS:
+        held = cubes.join(F.broadcast(full_cubes), [group, *CUBE], "left")
+    else:
+        # Coarse cubes hold most points, so this join is spread over salted keys.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = cubes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        held = salted.hint("merge").join(full_cubes.withColumn("salt", salts), [group, *CUBE, "salt"], "left")
+    return (
+        # A group of at most k points has no full cube: everyone meets at level 0.
+        held.filter(F.col("members").isNotNull() | (F.col("level") == 0))
         .groupBy(group, "id", "lat", "lon", "x", "y", "z")
         .agg(F.max("level").alias("level"))
     )
 
-    nearby = own.select(
-        group, F.col("id").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"),
-        "level", *_cube(F.col("level")),
-    )
-    for axis in ("cx", "cy", "cz"):
-        nearby = nearby.withColumn(axis, F.explode(_reachable(F.col(axis))))
-    nearby = nearby.filter(_touches_sphere())
 
-    candidates = target_cubes.select(
-        group, *CUBE, F.col("id").alias("j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j")
+def close_pairs(own: DataFrame, targets: DataFrame, k: int, group: str, radius_km: float) -> DataFrame:
+    """(group, i, j, distance_km) of all points with the targets up to their k-th distance inside their own cube."""
+    levels = F.array(*[F.lit(r["level"]) for r in own.select("level").distinct().collect()]).cast("array<int>")
+    candidates = targets.withColumn("level", F.explode(levels)).select(
+        group, "level", *_cube(F.col("level")), F.col("id").alias("j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j")
     )
     distance = F.round(
         haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"), radius_km), DISTANCE_DECIMALS
     )
-    closest = Window.partitionBy(group, "i").orderBy("distance_km", "j")
+    searching = own.select(
+        group, F.col("id").alias("i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), "x", "y", "z", "level"
+    )
+    # Neither side may be broadcast by the size of the rows before they are put into cubes.
+    inside = searching.select("*", *_cube(F.col("level"))).hint("merge").join(candidates, [group, *CUBE])
+    inside = inside.filter(F.col("i") != F.col("j")).select(group, *CUBE, "i", "j", distance.alias("distance_km"))
+    # A point has one cube, so its pairs are already together.
+    bounds = _nearest(inside, k, [group, *CUBE]).filter(F.col("position") == k).select(group, "i", F.col("distance_km").alias("bound"))
+    half = F.least((F.col("bound") + SLACK_KM) / (2 * radius_km), F.lit(math.pi / 2))
+    reach = F.coalesce(2 * F.sin(half) + SLACK, F.lit(2.0))
+    nearby = searching.join(bounds, [group, "i"], "left").withColumn("reach", reach)
+    for axis in ("x", "y", "z"):
+        nearby = nearby.withColumn(f"c{axis}", F.explode(_reachable(axis)))
+    nearby = nearby.filter(_touches_sphere()).select(group, *CUBE, "i", "lat_i", "lon_i", "bound")
     return (
-        nearby.join(candidates, [group, *CUBE])
+        nearby.hint("merge").join(candidates, [group, *CUBE])
         .filter(F.col("i") != F.col("j"))
-        .select(group, "i", "j", distance.alias("distance_km"))
-        .withColumn("position", F.row_number().over(closest))
-        .filter(F.col("position") <= k)
+        .select(group, "i", "j", distance.alias("distance_km"), "bound")
+        .filter(F.col("bound").isNull() | (F.col("distance_km") <= F.col("bound")))
+        .drop("bound")
     )
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stationwise.operators import spatial
 from stationwise.operators.risk import neighbour_groups
 from stationwise.operators.spatial import connected_components, gi_star, morans_i, nearest_neighbours
 
@@ -57,6 +58,22 @@ def test_groups_smaller_than_k(spark):
     compare(spark, points, 5)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_only_pairs_within_the_bound_are_ordered(spark, monkeypatch, k):
+    """A few pairs a point go to the window, also where a dense town lies amid scattered points; none is broadcast with its cubes."""
+    rng = np.random.default_rng(12)
+    lat = np.concatenate([rng.uniform(-60, 60, 1500), 45 + rng.normal(0, 0.001, 1500)])
+    lon = np.concatenate([rng.uniform(-180, 180, 1500), 9 + rng.normal(0, 0.001, 1500)])
+    points = pd.DataFrame({"g": "a", "station_id": [f"P{i:04d}" for i in range(len(lat))], "lat": lat, "lon": lon})
+    compare(spark, points, k)
+    seen, plain = [], spatial._nearest
+    monkeypatch.setattr(spatial, "_nearest", lambda pairs, k, keys: seen.append((len(keys), pairs)) or plain(pairs, k, keys))
+    edges = nearest_neighbours(spark.createDataFrame(points), k, "g", RADIUS)
+    (ordered,) = [pairs.count() for keys, pairs in seen if keys == 1]
+    assert k * len(points) <= ordered <= 4 * k * len(points)
+    assert "BroadcastNestedLoop" not in (plan := edges._jdf.queryExecution().executedPlan().toString()) and plan.count("BroadcastHashJoin") <= 1
+
+
 def unrelated_values(runs=150, sites=50):
     """Runs of values without any spatial order on scattered sites."""
     frames = []
