@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory of a Python worker to the system; workers wait between tasks of other stages."""
+    """Return freed memory of a Python worker to the system, Arrow's pool too; workers wait between tasks of other stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

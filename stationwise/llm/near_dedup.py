@@ -135,6 +135,7 @@ def signatures(docs: DataFrame, config: NearConfig, carry: str | None) -> DataFr
                 found = (set_digest(shingles), *signature(shingles, config)) if len(shingles) else (None, None, None)
                 rows.append((len(shingles), *found))
             yield pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
+            del batch, rows
         del hashes
         give_back()
 
@@ -169,7 +170,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, config: NearConfig) -> DataFra
         del hashes
         give_back()
 
-    found = texts.select(gathered("text").alias("found")).select("found.*")
+    # Declared as changing, else the join's null check runs the function a second time, in workers of its own.
+    found = texts.select(gathered.asNondeterministic()("text").alias("found")).select("found.*")
     named = with_small(found, wanted.select("node", "digest"), ["digest"])
     return written(named.select("node", "shingles").dropDuplicates(["node"]), "full_sets")
 
@@ -240,6 +242,7 @@ class SetBounds(NoBound):
                 for row in batch.itertuples():
                     shingles = np.frombuffer(row.shingles, np.int64)
                     yield pd.DataFrame({"node": row.node, "component": row.component, "shingle": shingles})
+            give_back()
 
         shingles = written(sets.mapInPandas(listed, "node long, component long, shingle long"), "shingles")
         span = shingles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))

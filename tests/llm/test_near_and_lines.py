@@ -7,11 +7,30 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stationwise.llm import near_dedup
 from stationwise.llm.line_dedup import LineConfig, cleaned, line_report
 from stationwise.llm.links import components, linked_components, shared_buckets
 from stationwise.llm.near_dedup import NearConfig, WordHashes, later_rows, near_groups, shingle_set, signature
 
 
+def test_full_sets_are_made_once(spark, monkeypatch):
+    """The join's null check must not run the shingles a second time."""
+    rows = [(i, f"text number {i} of a few words") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.distinct_sets(near_dedup.signatures(docs, NearConfig(), None))
+    plans, plain = {}, near_dedup.written
+
+    def planned(frame, name, *more):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return plain(frame, name, *more)
+
+    monkeypatch.setattr(near_dedup, "written", planned)
+    full = near_dedup.full_sets(docs, sets.select("node", "doc_id", "digest"), NearConfig())
+    assert plans["full_sets"].split("Initial Plan")[0].count("ArrowEvalPython") == 1
+    found = {r.shingles for r in full.collect()}
+    assert found == {shingle_set(text, 5, WordHashes()).tobytes() for _, text in rows}
+
+
 def text_of(rng, n, vocabulary=4000):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
