@@ -9,7 +9,8 @@ a length are ranges of ranks. Pieces get their rank among equal lengths from
 counts per input partition, not from one sort per length, and look their slot up.
 Pieces carry their ids; ``sequences`` lays those of a sequence end to end.
 
-Tokenising keeps a bounded dictionary from space-separated chunks to ids: where
+Tokenising keeps a bounded dictionary from space-separated chunks to ids, whose
+most used part a worker takes along to its next task: where
 no other white space is near, the tokeniser splits before every space, so a
 chunk's ids do not depend on its neighbours. All other texts go to it whole, also
 those that spell an added token, such as the end of a text.
@@ -25,6 +26,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -43,6 +45,7 @@ class PackingConfig:
     capacity: int = 2048
     end_id: int = 1
     cached_chunks: int = 600_000
+    kept_chunks: int = 100_000
     group_chars: int = 1_500_000
 
 
@@ -69,7 +72,7 @@ JOINED = 4096
 class ChunkIds(dict):
     """Chunk -> place of its ids. A key without a space stands for a space and the key; else for the key without its first space."""
 
-    def __init__(self, vocabulary: str, limit: int) -> None:
+    def __init__(self, vocabulary: str, limit: int, kept: int = 0) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -83,15 +86,25 @@ class ChunkIds(dict):
         self.token_bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, number in names.items():
             self.token_bytes[number] = len(name)
-        self.limit = limit
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
+        self.limit, self.kept = limit, kept
         self.new: list[str] = []
         self.ids = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
         self.counts = np.zeros(0, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def shrink(self) -> None:
+        """Forget all chunks but the ``kept`` most used, and those of them used once; older uses count half."""
+        most = np.argsort(-self.uses, kind="stable")[: self.kept]
+        most = np.sort(most[self.uses[most] > 1])
+        # Places are in the order in which chunks were met, as are the keys.
+        keys = list(self)
+        self.clear()
+        self.update(zip([keys[i] for i in most], range(len(most))))
+        counts = self.counts[most]
+        starts = np.cumsum(counts) - counts
+        self.ids = self.ids[np.repeat(self.starts[most] - starts, counts) + np.arange(counts.sum())]
+        self.starts, self.counts, self.uses = starts, counts, self.uses[most] // 2
 
     def __missing__(self, key: str) -> int:
         self[key] = place = len(self)
@@ -132,7 +145,7 @@ class ChunkIds(dict):
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
         if len(self) > self.limit:
-            self.reset()
+            self.shrink()
         chunks: list[str] = []
         ends: list[int] = []
         whole: dict[int, np.ndarray] = {}
@@ -146,6 +159,7 @@ class ChunkIds(dict):
             ends.append(len(chunks))
         places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         self.learn()
+        self.uses = np.bincount(places, minlength=len(self)) + np.pad(self.uses, (0, len(self) - len(self.uses)))
         counts = self.counts[places]
         upto = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(self.starts[places] - upto[:-1], counts) + np.arange(upto[-1])]
@@ -153,6 +167,12 @@ class ChunkIds(dict):
         return [whole[n] if n in whole else ids[cut[n] : cut[n + 1]] for n in range(len(texts))]
 
 
+@lru_cache(maxsize=1)
+def worker_coder(vocabulary: str, limit: int, kept: int) -> ChunkIds:
+    """The coder of this Python worker: its frequent chunks need not be learnt again in every task."""
+    return ChunkIds(vocabulary, limit, kept)
+
+
 def grouped(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
@@ -175,7 +195,7 @@ def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
 
     @F.pandas_udf("doc_tokens long, ids array<binary>, inside array<long>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = ChunkIds(vocabulary.value, config.cached_chunks)
+        coder = worker_coder(vocabulary.value, config.cached_chunks, config.kept_chunks)
         end = np.array([config.end_id], dtype=np.uint32)
         seen = np.zeros(config.capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -190,14 +210,14 @@ def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
                         seen[len(piece)] += 1
                     rows.append((len(ids), [x.tobytes() for x in pieces], inside))
             yield pd.DataFrame(rows, columns=["doc_tokens", "ids", "inside"])
-        del coder
+        coder.shrink()
         give_back()
 
     found = docs.select("doc_id", counted("text").alias("found"))
     found = found.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "found.doc_tokens", F.arrays_zip("found.ids", "found.inside").alias("pieces")
     )
-    return written(found, "tokenised")
+    return written(found, "tokenised", codec="zstd")
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
