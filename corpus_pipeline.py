@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import fresh_name, table, with_row_key, with_small, without_rows, word_count, written
+from stationwise.llm.common import fresh_name, new_path, scratch, table, with_row_key, with_small, without_rows, word_count, written
 from stationwise.llm.exact_dedup import exact_groups
 from stationwise.llm.language_id import with_language
 from stationwise.llm.mixing import mixed
@@ -39,8 +39,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents linked by 80 per cent of their 5-word shingles, the first stays."""
     keyed, key = with_row_key(docs)
-    groups = written(near_groups(keyed, NearConfig(), carry=key), "groups")
-    return without_rows(keyed, key, later_rows(groups)).select(*docs.columns)
+    later = new_path(spark, "later")
+    with scratch(spark):
+        groups = written(near_groups(keyed, NearConfig(), carry=key), "groups")
+        later_rows(groups).write.parquet(later)
+    return without_rows(keyed, key, spark.read.schema("carried long").parquet(later)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ from stationwise.llm.common import table
 from stationwise.llm.language_id import FILLER, LanguageConfig, dictionaries, labelled_sample, op1_language_id, with_language
 from stationwise.llm.lm_scoring import ModelConfig, scored
 from stationwise.llm.ngram_trie import EliasFano, Trie
-from stationwise.llm.packing import ChunkIds, PackingConfig, default_config, packed, sequences, shortest_pack_first
+from stationwise.llm.common import new_path
+from stationwise.llm.packing import ChunkIds, PackingConfig, default_config, packed, sequences, shortest_pack_first, worker_coder
 from stationwise.llm.quality_rules import QualityConfig, binomial_tail, certified_cutoffs, counts_of, judged
 
 DATA = "/root/testdata/sf0.01"
@@ -164,6 +165,18 @@ def test_chunks_give_the_tokenizer_s_ids():
         assert [x.tolist() for x in coder.many(group)] == plain
 
 
+def test_a_worker_keeps_its_frequent_chunks():
+    vocabulary = Path(default_config().vocabulary).read_text(encoding="utf-8")
+    coder = worker_coder(vocabulary, 1000, 20)
+    rng = random.Random(5)
+    for _ in range(4):
+        texts = [" ".join([f"often{rng.randrange(15)}" for _ in range(40)] + [f"rare{rng.randrange(10**9)}"]) for _ in range(30)]
+        assert [x.tolist() for x in coder.many(texts)] == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        coder.shrink()
+        assert 10 <= len(coder) <= 20 and all("often" in x for x in coder) and len(coder.starts) == len(coder.uses) == len(coder)
+    assert worker_coder(vocabulary, 1000, 20) is coder
+
+
 def test_added_tokens_have_their_own_ids(spark):
     from tokenizers import Tokenizer
 
@@ -319,6 +332,18 @@ def test_chances_add_up_to_one(spark):
 # ---- pipeline
 
 
+def test_near_copies_leave_no_tables_behind(spark):
+    """Only the numbered rows and the numbers of those that go stay for whoever writes the result."""
+    folder = Path(new_path(spark, "probe")).parent
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 60 - i % 2]), "en", "web") for i in range(6)] + [(9, "another text", "en", "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before} == {"rows", "later", "gone"}
+    assert sorted(r.doc_id for r in left.collect()) == [0, 9]
+
+
 def test_pipeline_stages_on_awkward_documents(spark):
     rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, DATA, "documents").limit(250).collect()]
     rows += [rows[3], rows[3], (9001, None, None, None, None), (9002, "", "en", "s", 0), (None, rows[8][1], "en", None, 1)]
