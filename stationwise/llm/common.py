@@ -9,8 +9,10 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,46 @@ def with_row_key(frame: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     return written(frame.withColumn(key, F.monotonically_increasing_id()), name, codec="zstd"), key
 
 
+#: Bits of a row's index in its file; the file's number lies above.
+INDEX_BITS = 40
+
+
+def is_plain_read(frame: DataFrame) -> bool:
+    """True for a frame that is a folder of Parquet files or one such file, read as it is.
+
+    Spark tells paths and schemas that were given in different ways apart; of a frame it finds no equal for, nothing is known.
+    """
+    spark, files = frame.sparkSession, frame.inputFiles()
+    roots = {f.rpartition("/")[0] for f in files} if len(files) != 1 else {files[0], files[0].rpartition("/")[0]}
+    for root in roots if len(files) == 1 or len(roots) == 1 else ():
+        bare = urlsplit(root).path
+        for path in (root, bare, f"file:{bare}"):
+            # A path that cannot be read by its listed name counts as no plain read.
+            with contextlib.suppress(AnalysisException):
+                if any(frame.sameSemantics(x.parquet(path)) for x in (spark.read.schema(frame.schema), spark.read)):
+                    return True
+    return False
+
+
+def with_place_key(frame: DataFrame) -> tuple[DataFrame, str]:
+    """The frame with a unique row number, and that column's name, without a copy where Parquet files hold the rows already.
+
+    A plain read returns the same rows at the same places each time, so a file's number and the index of the row in it
+    name the row. Any other frame may change from one reading to the next and is stored by ``with_row_key``.
+    """
+    if "_metadata" in {c.lower() for c in frame.columns} or not is_plain_read(frame):
+        return with_row_key(frame)
+    key, file, index = (fresh_name(frame, x) for x in ("row_key", "row_file", "row_index"))
+    placed = frame.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
+    found = placed.groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.max(index).alias("last")).collect()
+    if any(r.n != r.last + 1 for r in found):
+        # A file that is read twice has two rows at every place.
+        return with_row_key(frame)
+    numbers = frame.sparkSession.createDataFrame(list(enumerate(sorted(r[file] for r in found))), f"{key} long, {file} string")
+    keyed = placed.join(F.broadcast(numbers), file).withColumn(key, F.shiftleft(key, INDEX_BITS) + F.col(index))
+    return keyed.select(*frame.columns, key), key
+
+
 def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table of one row per key: broadcast when its counted rows allow, else shuffled.
 

@@ -16,7 +16,7 @@ from stationwise.llm.common import table
 from stationwise.llm.language_id import FILLER, LanguageConfig, dictionaries, labelled_sample, op1_language_id, with_language
 from stationwise.llm.lm_scoring import ModelConfig, scored
 from stationwise.llm.ngram_trie import EliasFano, Trie
-from stationwise.llm.common import new_path
+from stationwise.llm.common import new_path, with_place_key
 from stationwise.llm.packing import ChunkIds, PackingConfig, default_config, packed, sequences, shortest_pack_first, worker_coder
 from stationwise.llm.quality_rules import QualityConfig, binomial_tail, certified_cutoffs, counts_of, judged
 
@@ -373,3 +373,46 @@ def test_mixing_stage_takes_whole_documents(spark):
     level = sum(had.values()) / sum(1 + i % 3 for i in range(len(order)))
     largest = {r.source: r.n for r in docs.groupBy("source").agg(F.max(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
     assert all(abs(taken[s] - min((1 + i % 3) * level, 3 * had[s])) <= largest[s] / 2 + 1 for i, s in enumerate(order))
+def test_stages_copy_no_texts(spark, tmp_path):
+    """Documents that are Parquet files are numbered where they lie; only slim tables of rows that go or stay are left."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i % 9, " ".join(words[: 60 - i % 3 % 2]), "en", "web" if i % 2 else None) for i in range(40)] + [(9, "another text", "en", "web")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    folder = Path(new_path(spark, "probe")).parent
+    slim = {"exact_dedup": {"later", "gone"}, "near_dedup": {"later", "gone"}, "mixing": {"taken"}}
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+        result = stage(spark, docs, DATA)
+        assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before} == slim[name]
+        stored = stage(spark, docs.where("true OR rand() < 2").repartition(2), DATA)
+        if name != "mixing":
+            assert sorted(r.doc_id for r in result.collect()) == sorted(r.doc_id for r in stored.collect())
+            assert result.count() == {"exact_dedup": 3, "near_dedup": 2}[name]
+        else:
+            assert result.count() > 0 and set(result.collect()) <= set(docs.collect())
+
+
+def test_rows_are_keyed_by_their_place(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 AS doc_id", "'t' AS row_key", "'u' AS row_file").repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    one = sorted((tmp_path / "docs").glob("*.parquet"))[0]
+    folder = Path(new_path(spark, "probe")).parent
+
+    def keyed(frame):
+        before = set(folder.iterdir()) if folder.exists() else set()
+        found, key = with_place_key(frame)
+        assert found.columns == [*frame.columns, key]
+        keys = [r[key] for r in found.collect()]
+        assert len(set(keys)) == len(keys) == frame.count()
+        assert sorted(keys) == sorted(r[key] for r in found.select(key).where(F.col(key) >= 0).collect())
+        return len(set(folder.iterdir()) - before if folder.exists() else ())
+
+    assert keyed(docs) == 0 and keyed(spark.read.parquet(str(one))) == 0
+    # Files read twice, parts of the rows, repeated rows, joined and other frames are stored.
+    twice = spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs")
+    again = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert [keyed(x) for x in (twice, docs.limit(10), again, docs.unionAll(docs), spark.range(5), docs.withColumn("_metadata", F.lit(1)))] == [1] * 6
+
+
