@@ -22,6 +22,7 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -31,6 +32,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ class PackingConfig:
     capacity: int = 2048
     end_id: int = 1
     cached_chunks: int = 600_000
-    kept_chunks: int = 100_000
+    kept_chunks: int = 200_000
     group_chars: int = 1_500_000
 
 
@@ -65,6 +68,24 @@ def splits_at_spaces(text: str) -> bool:
     return not (OTHER_BLANK.search(text) or any(x in text for x in INNER_SPACE) or text[-2:] in ("  ", "\n "))
 
 
+#: Letters of some scripts, digits, and marks but the apostrophe: the byte-level rule cuts a chunk of these, and of single line
+#: feeds, into line feeds and runs of one kind, the first run with the space before it.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff"
+MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f" ?[{LETTERS}0-9{MARKS}]+(?:\n[{LETTERS}0-9{MARKS}]+)*\n?")
+PIECES = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n")
+
+#: The pre-tokeniser whose rule that is.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def byte_letters() -> dict[int, str]:
+    """The character with which a byte-level vocabulary spells a byte: a printing one itself, others from U+0100 on."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printing else chr(next(others)) for b in range(256)}
+
+
 #: So many chunks are tokenised end to end.
 JOINED = 4096
 
@@ -86,18 +107,24 @@ class ChunkIds(dict):
         self.token_bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, number in names.items():
             self.token_bytes[number] = len(name)
+        # Whether plain chunks may be cut into pieces here: by the rule of this pre-tokeniser, without dropout.
+        form = json.loads(vocabulary)
+        rule, model = form["pre_tokenizer"] or {}, form["model"]
+        self.cuts = BYTE_LEVEL.items() <= rule.items() and not form["normalizer"] and model["type"] == "BPE" and not model["dropout"]
+        self.letters = byte_letters()
         self.limit, self.kept = limit, kept
         self.new: list[str] = []
         self.ids = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
         self.counts = np.zeros(0, dtype=np.int64)
         self.uses = np.zeros(0, dtype=np.int64)
+        self.resting: pa.LargeStringArray | None = None
 
     def shrink(self) -> None:
         """Forget all chunks but the ``kept`` most used, and those of them used once; older uses count half."""
         most = np.argsort(-self.uses, kind="stable")[: self.kept]
-        most = np.sort(most[self.uses[most] > 1])
-        # Places are in the order in which chunks were met, as are the keys.
+        most = most[self.uses[most] > 1]
+        # Places are in the order in which chunks were met, as are the keys; now the most used come first.
         keys = list(self)
         self.clear()
         self.update(zip([keys[i] for i in most], range(len(most))))
@@ -106,33 +133,79 @@ class ChunkIds(dict):
         self.ids = self.ids[np.repeat(self.starts[most] - starts, counts) + np.arange(counts.sum())]
         self.starts, self.counts, self.uses = starts, counts, self.uses[most] // 2
 
+    def rest(self) -> None:
+        """Shrink and lay the chunks end to end until the next text comes.
+
+        As single strings, strewn over the memory of all those forgotten, they would keep that from being given back.
+        """
+        if self.resting is None:
+            self.shrink()
+            self.resting = pa.array(self, pa.large_string())
+            self.clear()
+
+    def wake(self) -> None:
+        if self.resting is not None:
+            self.update(zip(self.resting.to_numpy(zero_copy_only=False), range(len(self.resting))))
+            self.resting = None
+
     def __missing__(self, key: str) -> int:
         self[key] = place = len(self)
         self.new.append(key[1:] if key[:1] == " " else " " + key)
         return place
 
+    def pieces(self) -> tuple[list[int], list[int], list[int]]:
+        """Of the plain chunks among the new ones: their numbers, the counts of their ids, and these ids end to end.
+
+        A piece that is a chunk learnt before is looked up; others go to the tokeniser's model by themselves.
+        """
+        letters, model, known = self.letters, self.tokenizer.model, len(self.counts)
+        places, starts, ends, ids = [], self.starts, self.starts + self.counts, self.ids
+        counts, found = [], []
+        for n, chunk in enumerate(self.new):
+            if not PLAIN.fullmatch(chunk):
+                continue
+            before = len(found)
+            parts = PIECES.findall(chunk)
+            for part in parts:
+                # The chunk itself is in the dictionary too, but not known.
+                place = self.get(part[1:] if part[0] == " " else " " + part, known) if len(parts) > 1 else known
+                if place < known:
+                    found.extend(ids[starts[place] : ends[place]].tolist())
+                else:
+                    spelt = part.replace(" ", "\u0120").replace("\n", "\u010a") if part.isascii() else part.encode().decode("latin-1").translate(letters)
+                    found.extend([x.id for x in model.tokenize(spelt)])
+            places.append(n)
+            counts.append(len(found) - before)
+        return places, counts, found
+
     def learn(self) -> None:
         """Tokenise the chunks met since the last call.
 
-        Most are tokenised end to end, as they split where they meet, and told apart by the tokens' bytes.
+        Plain ones are cut into pieces here. Most others are tokenised end to end, as they split where they meet, and told
+        apart by the tokens' bytes.
         """
         if not self.new:
             return
-        apart = np.fromiter((self.spaced or x[:1] != " " or x[-1:].isspace() for x in self.new), bool, len(self.new))
+        plain, plain_counts, plain_ids = self.pieces() if self.cuts else ([], [], [])
         counts = np.zeros(len(self.new), dtype=np.int64)
-        parts = []
+        counts[plain] = plain_counts
+        left = np.ones(len(self.new), dtype=bool)
+        left[plain] = False
+        apart = left & np.fromiter((self.spaced or x[:1] != " " or x[-1:].isspace() for x in self.new), bool, len(self.new))
+        parts = [np.array(plain_ids, dtype=np.uint32)]
         # The places of chunks in the order of ``parts``.
-        order = np.concatenate((np.flatnonzero(~apart), np.flatnonzero(apart)))
-        joined = [self.new[i] for i in np.flatnonzero(~apart)]
+        ending = np.flatnonzero(left & ~apart)
+        order = np.concatenate((np.array(plain, dtype=np.int64), ending, np.flatnonzero(apart)))
+        joined = [self.new[i] for i in ending]
         for i in range(0, len(joined), JOINED):
             some = joined[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.cumsum(np.fromiter((len(x.encode()) for x in some), np.int64, len(some)))
             upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, side="right")
-            counts[order[i : i + len(some)]] = np.diff(upto, prepend=0)
+            counts[ending[i : i + len(some)]] = np.diff(upto, prepend=0)
             parts.append(ids)
         for i in np.flatnonzero(apart):
-            ids = np.array(self.tokenizer.encode(self.new[i], add_special_tokens=False).ids, dtype=np.uint32)
+            ids = self.whole(self.new[i])
             counts[i] = len(ids)
             parts.append(ids)
         starts = np.zeros(len(counts), dtype=np.int64)
@@ -144,27 +217,32 @@ class ChunkIds(dict):
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
+        self.wake()
         if len(self) > self.limit:
             self.shrink()
-        chunks: list[str] = []
-        ends: list[int] = []
-        whole: dict[int, np.ndarray] = {}
-        for n, text in enumerate(texts):
-            if splits_at_spaces(text) and not any(x in text for x in self.added):
-                first, *rest = text.split(" ")
-                chunks.append(" " + first)
-                chunks.extend(rest)
-            else:
-                whole[n] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            ends.append(len(chunks))
-        places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        split = [splits_at_spaces(text) and not any(x in text for x in self.added) for text in texts]
+        chunks = pc.split_pattern(pa.array((x for x, s in zip(texts, split) if s), pa.large_string()), " ")
+        ends = chunks.offsets.to_numpy().astype(np.int64)
+        later = np.ones(ends[-1], dtype=bool)
+        later[ends[:-1]] = False
+        # Equal chunks of the texts are looked up once. Those that begin a text have no space before them.
+        coded = chunks.values.filter(pa.array(later)).dictionary_encode()
+        different = np.fromiter(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        places = np.zeros(len(later), dtype=np.int64)
+        places[later] = different[coded.indices.to_numpy()]
+        firsts = (" " + text.partition(" ")[0] for text, s in zip(texts, split) if s)
+        places[~later] = np.fromiter(map(self.__getitem__, firsts), np.int64, len(ends) - 1)
         self.learn()
         self.uses = np.bincount(places, minlength=len(self)) + np.pad(self.uses, (0, len(self) - len(self.uses)))
         counts = self.counts[places]
         upto = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(self.starts[places] - upto[:-1], counts) + np.arange(upto[-1])]
-        cut = upto[[0, *ends]]
-        return [whole[n] if n in whole else ids[cut[n] : cut[n + 1]] for n in range(len(texts))]
+        parts = iter(np.split(ids, upto[ends[1:-1]]))
+        return [next(parts) if s else self.whole(text) for text, s in zip(texts, split)]
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a text, by the tokeniser alone."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -210,7 +288,7 @@ def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
                         seen[len(piece)] += 1
                     rows.append((len(ids), [x.tobytes() for x in pieces], inside))
             yield pd.DataFrame(rows, columns=["doc_tokens", "ids", "inside"])
-        coder.shrink()
+        coder.rest()
         give_back()
 
     found = docs.select("doc_id", counted("text").alias("found"))

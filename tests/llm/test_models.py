@@ -191,6 +191,56 @@ def test_added_tokens_have_their_own_ids(spark):
     assert found == {i: zlib.crc32(np.array([*x, 1], dtype="<u4").tobytes()) for i, x in enumerate(expected)}
 
 
+def test_plain_chunks_are_cut_as_the_tokeniser_cuts_them():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_config().vocabulary)
+    coder = ChunkIds(Path(default_config().vocabulary).read_text(encoding="utf-8"), 3000, 500)
+    rng = random.Random(31)
+    alphabet = [*"aZ9 0,.$_'\"\n\n  ", "é", "Ñ", "×", "÷", "²", "½", "ж", "ӿ", "ʰ", "中", "\u0301", "\u00a0", "\u00ad", "😀", "'s", "the", "tion"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(6000)]
+    texts += [f"{chr(c)} a{chr(c)} {chr(c)}b\n{chr(c)}1 .{chr(c)}" for c in range(32, 0x530) if c not in range(128, 160)]
+    texts += ["word" * 500 + "'", ("ab1," * 300 + "\n") * 3 + "\u00d7"]
+    for i in range(0, len(texts), 500):
+        found = coder.many(texts[i : i + 500])
+        assert [x.tolist() for x in found] == [x.ids for x in plain.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+
+
+def test_new_chunks_of_known_pieces_are_not_tokenised_again():
+    coder = ChunkIds(Path(default_config().vocabulary).read_text(encoding="utf-8"), 3000)
+    text = "Zworblefy, qqtion.\nZworblefy 1989 $$ qqtion"
+    expected = coder.tokenizer.encode(f"{text} qqtion,$$\n1989", add_special_tokens=False).ids
+
+    class Model:
+        asked = []
+
+        def tokenize(self, piece):
+            self.asked.append(piece)
+            return model.tokenize(piece)
+
+    class Counting:
+        model = Model()
+
+    model, coder.tokenizer = coder.tokenizer.model, Counting()
+    coder.many([text])
+    Model.asked.clear()
+    assert coder.many([f"{text} qqtion,$$\n1989"])[0].tolist() == expected
+    # Only pieces that are no chunk by themselves; " qqtion" is one.
+    assert Model.asked == [",$$", "\u010a", "1989"]
+
+
+def test_resting_chunks_are_no_single_strings():
+    vocabulary = Path(default_config().vocabulary).read_text(encoding="utf-8")
+    coder = ChunkIds(vocabulary, 1000, 50)
+    texts = ["many words many times\nand more é", "rare once", "many words é more", " many <|endoftext|>"] * 2 + ["single"]
+    expected = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):
+        assert [x.tolist() for x in coder.many(texts)] == expected
+        coder.rest()
+        coder.rest()
+        assert len(coder) == 0 and "single" not in coder.resting.to_pylist() and "words" in coder.resting.to_pylist()
+
+
 def test_patterns_use_the_histogram_and_fill_well():
     rng = random.Random(3)
     histogram = {n: rng.randrange(1, 40) for n in rng.sample(range(1, 2048), 900)}
@@ -344,35 +394,6 @@ def test_near_copies_leave_no_tables_behind(spark):
     assert sorted(r.doc_id for r in left.collect()) == [0, 9]
 
 
-def test_pipeline_stages_on_awkward_documents(spark):
-    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, DATA, "documents").limit(250).collect()]
-    rows += [rows[3], rows[3], (9001, None, None, None, None), (9002, "", "en", "s", 0), (None, rows[8][1], "en", None, 1)]
-    rows += [(9003, rows[9][1].replace(" ", "  "), "en", "s", 1), (9004, rows[10][1] + " tail", "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.withColumns({c: F.lit(1) for c in ("row_key", "found", "language", "copies", "size", "key")}).repartition(3)
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = corpus_pipeline.written(stage(spark, docs, DATA), name)
-        assert docs.columns == names
-        if name != "mixing":
-            assert 0.8 * before < docs.count() < before
-    ids = {r.doc_id for r in docs.collect()}
-    assert not ids & {9001, 9002, 9003, None}
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.limit(0), DATA).count() == 0
-
-
-def test_mixing_stage_takes_whole_documents(spark):
-    docs = table(spark, DATA, "documents")
-    mixed = corpus_pipeline.mix_sources(spark, docs, DATA)
-    assert mixed.join(docs, docs.columns, "left_anti").count() == 0
-    words = lambda frame: {r.source: r.n for r in frame.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
-    had, taken = words(docs), words(mixed)
-    order = sorted(had)
-    level = sum(had.values()) / sum(1 + i % 3 for i in range(len(order)))
-    largest = {r.source: r.n for r in docs.groupBy("source").agg(F.max(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
-    assert all(abs(taken[s] - min((1 + i % 3) * level, 3 * had[s])) <= largest[s] / 2 + 1 for i, s in enumerate(order))
 def test_stages_copy_no_texts(spark, tmp_path):
     """Documents that are Parquet files are numbered where they lie; only slim tables of rows that go or stay are left."""
     words = [f"w{i}" for i in range(60)]
@@ -416,3 +437,32 @@ def test_rows_are_keyed_by_their_place(spark, tmp_path):
     assert [keyed(x) for x in (twice, docs.limit(10), again, docs.unionAll(docs), spark.range(5), docs.withColumn("_metadata", F.lit(1)))] == [1] * 6
 
 
+def test_pipeline_stages_on_awkward_documents(spark):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, DATA, "documents").limit(250).collect()]
+    rows += [rows[3], rows[3], (9001, None, None, None, None), (9002, "", "en", "s", 0), (None, rows[8][1], "en", None, 1)]
+    rows += [(9003, rows[9][1].replace(" ", "  "), "en", "s", 1), (9004, rows[10][1] + " tail", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(1) for c in ("row_key", "found", "language", "copies", "size", "key")}).repartition(3)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.written(stage(spark, docs, DATA), name)
+        assert docs.columns == names
+        if name != "mixing":
+            assert 0.8 * before < docs.count() < before
+    ids = {r.doc_id for r in docs.collect()}
+    assert not ids & {9001, 9002, 9003, None}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_mixing_stage_takes_whole_documents(spark):
+    docs = table(spark, DATA, "documents")
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA)
+    assert mixed.join(docs, docs.columns, "left_anti").count() == 0
+    words = lambda frame: {r.source: r.n for r in frame.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    had, taken = words(docs), words(mixed)
+    order = sorted(had)
+    level = sum(had.values()) / sum(1 + i % 3 for i in range(len(order)))
+    largest = {r.source: r.n for r in docs.groupBy("source").agg(F.max(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    assert all(abs(taken[s] - min((1 + i % 3) * level, 3 * had[s])) <= largest[s] / 2 + 1 for i, s in enumerate(order))
